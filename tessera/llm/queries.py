@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from . import exact_dedup, html_extract, mixing, topk
+from . import exact_dedup, html_extract, mixing, near_dedup, quality, topk
 
 
 def _documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op2_score_quality(spark, sf_dir):
+    return quality.score_quality(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
+def op5_near_duplicates(spark, sf_dir):
+    return near_dedup.near_duplicates(_documents(spark, sf_dir), shingle=3, percent=85)
+
+
 def op7_exact_topk(spark, sf_dir):
     return topk.exact_topk(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -27,7 +37,7 @@ def op10_extract_html(spark, sf_dir):
     return html_extract.extract_html(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op7_exact_topk, op8_exact_dedup, op9_mix_sources, op10_extract_html)}
+QUERIES = {f.__name__: f for f in (op2_score_quality, op5_near_duplicates, op7_exact_topk, op8_exact_dedup, op9_mix_sources, op10_extract_html)}
 
 _OP8 = """
 with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm from documents),
