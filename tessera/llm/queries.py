@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, mixing, near_dedup, quality, topk
+from . import exact_dedup, html_extract, mixing, near_dedup, quality, topk, toxicity
 
 
 def _documents(spark, sf_dir):
@@ -17,6 +17,10 @@ def op2_score_quality(spark, sf_dir):
     return quality.score_quality(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op3_score_toxicity(spark, sf_dir):
+    return toxicity.score_toxicity(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op5_near_duplicates(spark, sf_dir):
     return near_dedup.near_duplicates(_documents(spark, sf_dir), shingle=3, percent=85)
 
@@ -37,7 +41,7 @@ def op10_extract_html(spark, sf_dir):
     return html_extract.extract_html(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op2_score_quality, op5_near_duplicates, op7_exact_topk, op8_exact_dedup, op9_mix_sources, op10_extract_html)}
+QUERIES = {f.__name__: f for f in (op2_score_quality, op3_score_toxicity, op5_near_duplicates, op7_exact_topk, op8_exact_dedup, op9_mix_sources, op10_extract_html)}
 
 _OP8 = """
 with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm from documents),
