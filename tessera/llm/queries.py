@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, mixing, near_dedup, quality, topk, toxicity
+from . import exact_dedup, html_extract, mixing, near_dedup, quality, substring_dedup, topk, toxicity
 
 
 def _documents(spark, sf_dir):
@@ -25,6 +25,10 @@ def op5_near_duplicates(spark, sf_dir):
     return near_dedup.near_duplicates(_documents(spark, sf_dir), shingle=3, percent=85)
 
 
+def op6_remove_repeats(spark, sf_dir):
+    return substring_dedup.remove_repeats(_documents(spark, sf_dir)).drop("removed")
+
+
 def op7_exact_topk(spark, sf_dir):
     return topk.exact_topk(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -41,7 +45,7 @@ def op10_extract_html(spark, sf_dir):
     return html_extract.extract_html(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op2_score_quality, op3_score_toxicity, op5_near_duplicates, op7_exact_topk, op8_exact_dedup, op9_mix_sources, op10_extract_html)}
+QUERIES = {f.__name__: f for f in (op2_score_quality, op3_score_toxicity, op5_near_duplicates, op6_remove_repeats, op7_exact_topk, op8_exact_dedup, op9_mix_sources, op10_extract_html)}
 
 _OP8 = """
 with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm from documents),
@@ -50,4 +54,4 @@ select d.doc_id, g.keep_id, g.group_size, d.doc_id is not distinct from g.keep_i
 from d join g on d.norm = g.norm
 """
 
-ORACLE = {"op7_exact_topk": topk.ORACLE_SQL, "op8_exact_dedup": _OP8, "op9_mix_sources": mixing.ORACLE_SQL}
+ORACLE = {"op6_remove_repeats": substring_dedup.ORACLE_SQL, "op7_exact_topk": topk.ORACLE_SQL, "op8_exact_dedup": _OP8, "op9_mix_sources": mixing.ORACLE_SQL}
