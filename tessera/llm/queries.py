@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, mixing, near_dedup, quality, substring_dedup, topk, toxicity
+import os
+from . import bpe, exact_dedup, html_extract, mixing, near_dedup, quality, substring_dedup, topk, toxicity
+
+
+#: Folder of the public tokenizer files.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+BYTE_BPE = "byte_bpe_50k.json"
 
 
 def _documents(spark, sf_dir):
@@ -21,6 +27,10 @@ def op3_score_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op4_encode_bpe(spark, sf_dir):
+    return bpe.encoding_digests(_documents(spark, sf_dir), f"{TOKENIZERS}/{BYTE_BPE}")
+
+
 def op5_near_duplicates(spark, sf_dir):
     return near_dedup.near_duplicates(_documents(spark, sf_dir), shingle=3, percent=85)
 
@@ -45,7 +55,7 @@ def op10_extract_html(spark, sf_dir):
     return html_extract.extract_html(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op2_score_quality, op3_score_toxicity, op5_near_duplicates, op6_remove_repeats, op7_exact_topk, op8_exact_dedup, op9_mix_sources, op10_extract_html)}
+QUERIES = {f.__name__: f for f in (op2_score_quality, op3_score_toxicity, op4_encode_bpe, op5_near_duplicates, op6_remove_repeats, op7_exact_topk, op8_exact_dedup, op9_mix_sources, op10_extract_html)}
 
 _OP8 = """
 with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm from documents),
