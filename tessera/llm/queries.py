@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import os
-from . import bpe, exact_dedup, html_extract, mixing, near_dedup, quality, substring_dedup, topk, toxicity
 
+from . import bpe, exact_dedup, html_extract, lm_scoring, mixing, near_dedup, quality, substring_dedup, topk, toxicity
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -19,6 +19,10 @@ def _labels(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_score_lm(spark, sf_dir):
+    return lm_scoring.score_documents(_documents(spark, sf_dir))
+
+
 def op2_score_quality(spark, sf_dir):
     return quality.score_quality(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
@@ -55,7 +59,7 @@ def op10_extract_html(spark, sf_dir):
     return html_extract.extract_html(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op2_score_quality, op3_score_toxicity, op4_encode_bpe, op5_near_duplicates, op6_remove_repeats, op7_exact_topk, op8_exact_dedup, op9_mix_sources, op10_extract_html)}
+QUERIES = {f.__name__: f for f in (op1_score_lm, op2_score_quality, op3_score_toxicity, op4_encode_bpe, op5_near_duplicates, op6_remove_repeats, op7_exact_topk, op8_exact_dedup, op9_mix_sources, op10_extract_html)}
 
 _OP8 = """
 with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm from documents),
