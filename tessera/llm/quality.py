@@ -104,10 +104,10 @@ def statistics(column: pa.Array) -> np.ndarray:
 
 def _measure(stream):
     for batch in batches(stream):
-        m = statistics(batch.column(1)).astype(np.float32)
+        m = statistics(batch.column(0))
         flat = pa.array(m.reshape(-1))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), flat)
-        yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "stats"])
+        yield pa.RecordBatch.from_arrays([lists, batch.column(1), batch.column(2)], names=["stats", "y", "apart"])
 
 
 def _rows(batch, name="stats"):
@@ -207,12 +207,20 @@ def fit(train: DataFrame, *, features: int = FEATURES, gamma: float = GAMMA, rid
 
 def _score(shared, threshold):
     def run(stream):
-        for batch in stream:
-            if batch.num_rows:
-                s = shared.value.score(_rows(batch))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"]
-                )
+        for batch in batches(stream):
+            s = shared.value.score(statistics(batch.column(1)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"]
+            )
+
+    return run
+
+
+def _keep(shared, threshold, at):
+    def run(stream):
+        for batch in batches(stream):
+            good = shared.value.score(statistics(batch.column(at))) >= threshold
+            yield batch.filter(pa.array(good))
 
     return run
 
@@ -222,24 +230,33 @@ def remainder(modulus: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def train_model(docs: DataFrame, labels: DataFrame, *, max_fit: int = MAX_FIT) -> Model:
+    """Fit on the labelled rows of ``docs`` that are not held out. Labels of about
+    ``max_fit`` rows at most (17 bytes each) are broadcast to the texts."""
+    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("double").alias("y"))
+    known = known.withColumn("fold", remainder(5)).where("fold <> 0")
+    n = known.count()
+    if n > max_fit:
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_fit / n))
+    known = workspace.materialise(known, "quality-labels")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts.join(F.broadcast(known), "doc_id").select("text", "y", (F.col("fold") == 4).alias("apart"))
+    return fit(workspace.materialise(rows.mapInArrow(_measure, "stats array<double>, y double, apart boolean"), "quality-train"))
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, *, max_fit: int = MAX_FIT, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text),
     learnt from ``labels`` (doc_id, quality) of rows that are not held out."""
     spark = docs.sparkSession
     workspace.ship(spark)
+    shared = spark.sparkContext.broadcast(train_model(docs, labels, max_fit=max_fit))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    stats = workspace.materialise(texts.mapInArrow(_measure, "doc_id long, stats array<float>"), "quality-stats")
-    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("double").alias("y"))
-    known = known.withColumn("fold", remainder(5)).where("fold <> 0")
-    n = known.count()
-    if n > max_fit:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_fit / n))
-    train = workspace.materialise(stats.join(known, "doc_id").select("stats", "y", (F.col("fold") == 4).alias("apart")), "quality-train")
-    shared = spark.sparkContext.broadcast(fit(train))
-    return stats.select("doc_id", "stats", (remainder(5) == 0).alias("held_out")).mapInArrow(_score(shared, threshold), "doc_id long, held_out boolean, score double, predicted int")
+    return texts.select("doc_id", "text", (remainder(5) == 0).alias("held_out")).mapInArrow(_score(shared, threshold), "doc_id long, held_out boolean, score double, predicted int")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, *, max_fit: int = MAX_FIT, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, all columns."""
-    bad = score_quality(docs, labels, threshold=threshold).where("predicted = 0 and doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")
+    spark = docs.sparkSession
+    workspace.ship(spark)
+    shared = spark.sparkContext.broadcast(train_model(docs, labels, max_fit=max_fit))
+    return docs.mapInArrow(_keep(shared, threshold, docs.columns.index("text")), docs.schema)
