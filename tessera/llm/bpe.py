@@ -288,6 +288,25 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
+def encode_checked(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids, decoded_sha256 for every row of ``docs``, in its order."""
+    shared = _Shared(docs.sparkSession.sparkContext, load(path))
+
+    def run(stream):
+        encoder = _encoder(shared)
+        for batch in batches(stream, 4 << 20):
+            ids, decoded = [], []
+            for text in _strings(batch.column(1)):
+                joined = encoder.joined(text)
+                ids.append(np.fromstring(joined, np.int32, sep=",") if joined else np.zeros(0, np.int32))
+                decoded.append(hashlib.sha256(encoder.decode_joined(joined)).hexdigest())
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends), pa.int64()), lists, pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded_sha256"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
+
+
 def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: every text is encoded, and
     its ids are decoded again, in one pass; only the digests leave the task."""

@@ -134,8 +134,12 @@ def _result(joined: DataFrame) -> DataFrame:
 def keep_first_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns; rows repeated with the same
     doc_id and text come once."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
-    kept = kept.dropDuplicates(["_keep", "_sha"])
-    marked = docs.withColumn("_sha2", _sha256(normalised(F.col("text"))))
-    joined = marked.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")) & (F.col("_sha2") == F.col("_sha")))
-    return joined.select(*docs.columns, "_sha2").dropDuplicates(["doc_id", "_sha2"]).select(*docs.columns)
+    marks = workspace.materialise(exact_dedup(docs).select("doc_id", "text_sha256", "kept"), "exact-marks")
+    gone = marks.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha"))
+    if gone.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS:
+        gone = F.broadcast(gone)
+    sha = _sha256(normalised(F.col("text")))
+    left = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")) & (sha == F.col("_sha")), "left_anti")
+    if marks.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").isEmpty():
+        return left
+    return left.withColumn("_sha", sha).dropDuplicates(["doc_id", "_sha"]).drop("_sha")

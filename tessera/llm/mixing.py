@@ -56,24 +56,42 @@ def source_targets(sizes: DataFrame, *, weights=WEIGHTS, slopes=SLOPES, budget=B
     )
 
 
-def mix_sources(docs: DataFrame, *, weights=WEIGHTS, slopes=SLOPES, budget=BUDGET, most=MOST) -> DataFrame:
-    """One row per document of ``docs`` (doc_id, text, source): size,
-    source_size, target, taken, copies and the training position of each copy
-    (``positions``, ascending; empty if the mix leaves the document out)."""
-    rows = docs.select(
+def _sized(docs: DataFrame, *more) -> DataFrame:
+    return docs.select(
         F.col("doc_id"),
         F.col("source"),
         F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("place"),
+        F.coalesce(F.concat(F.lit("v"), "source"), F.lit("n")).alias("key"),
+        *more,
     )
-    rows = workspace.materialise(rows.withColumn("key", F.coalesce(F.concat(F.lit("v"), "source"), F.lit("n"))), "mix-sizes")
-    return _mix(rows, weights, slopes, budget, most)
 
 
-def _mix(rows: DataFrame, weights, slopes, budget, most) -> DataFrame:
-    digits = max(1, min(8, math.ceil(math.log(max(1, rows.count()), 16) / 2)))
-    rows = rows.withColumn("bucket", F.substring("place", 1, digits))
-    totals = workspace.materialise(rows.groupBy("key", "source", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
+def mix_sources(docs: DataFrame, *, weights=WEIGHTS, slopes=SLOPES, budget=BUDGET, most=MOST) -> DataFrame:
+    """One row per document of ``docs`` (doc_id, text, source): size,
+    source_size, target, taken, copies and the training position of each copy
+    (``positions``, ascending; empty if the mix leaves the document out)."""
+    rows = workspace.materialise(_sized(docs), "mix-sizes")
+    out = _mix(rows, rows, weights, slopes, budget, most)
+    # Left-out documents follow the run, spread by their hash.
+    when = F.coalesce(F.try_element_at("positions", F.lit(1)), 1.0 + F.conv(F.substring("place", 1, 12), 16, 10).cast("double") / float(1 << 48))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "positions", when.alias("when")).orderBy("when", "doc_id").drop("when")
+
+
+def mixed_documents(docs: DataFrame, *, weights=WEIGHTS, slopes=SLOPES, budget=BUDGET, most=MOST) -> DataFrame:
+    """The rows of ``docs``, all columns, once per copy that the mix takes, in
+    training order. Documents of size 0 take no part in training."""
+    small = workspace.materialise(_sized(docs), "mix-sizes")
+    out = _mix(small, _sized(docs, F.struct("*").alias("row")), weights, slopes, budget, most, "row")
+    return out.select("row", "doc_id", F.explode("positions").alias("position")).orderBy("position", "doc_id").select("row.*")
+
+
+def _mix(small: DataFrame, rows: DataFrame, weights, slopes, budget, most, *extra) -> DataFrame:
+    """Copies and positions of ``rows``; ``small`` is the same table without its texts."""
+    digits = max(1, min(8, math.ceil(math.log(max(1, small.count()), 16) / 2)))
+    bucket = F.substring("place", 1, digits)
+    rows = rows.withColumn("bucket", bucket)
+    totals = workspace.materialise(small.withColumn("bucket", bucket).groupBy("key", "source", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
     sources = source_targets(totals.groupBy("source").agg(F.sum("words").alias("source_size")), weights=weights, slopes=slopes, budget=budget, most=most)
     sources = sources.withColumn("key", F.coalesce(F.concat(F.lit("v"), "source"), F.lit("n"))).drop("source")
     ahead = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -93,10 +111,7 @@ def _mix(rows: DataFrame, weights, slopes, budget, most) -> DataFrame:
         return 2.0 * share / (flat + F.sqrt(flat * flat + 4.0 * F.col("slope") * share))
 
     copies = F.when((F.col("copies") > 0) & (F.col("size") > 0), F.transform(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int")), position)).otherwise(F.array().cast("array<double>"))
-    out = taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), copies.alias("positions"), "place")
-    # Left-out documents follow the run, spread by their hash.
-    when = F.coalesce(F.try_element_at("positions", F.lit(1)), 1.0 + F.conv(F.substring("place", 1, 12), 16, 10).cast("double") / float(1 << 48))
-    return out.withColumn("when", when).orderBy("when", "doc_id").drop("when", "place")
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), copies.alias("positions"), "place", *extra)
 
 
 def training_order(mixed: DataFrame) -> DataFrame:

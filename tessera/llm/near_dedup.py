@@ -229,6 +229,19 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = S
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns: of every group of linked
+    documents the one with the smallest doc_id, once if its id is repeated."""
+    marks = workspace.materialise(near_duplicates(docs, **options).select("doc_id", "kept"), "near-marks")
+    gone = marks.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    left = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    if marks.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return left
+    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+
+
 def _join_repeats(named: DataFrame) -> DataFrame:
     """Ties the groups of rows that share a doc_id; a table of distinct ids passes through."""
     repeated = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("a"), F.max("component_id").alias("b")).where("n > 1 and a <> b")
