@@ -26,8 +26,19 @@ from pyspark.sql import functions as F
 from . import workspace
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STATE = "spark.sql.streaming.stateStore"
+#: State lives on disk; all stores of an executor share one bounded cache.
+_CONF = {
+    f"{_STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STATE}.rocksdb.boundedMemoryUsage": "true",
+    f"{_STATE}.rocksdb.maxMemoryUsageMB": "128",
+    f"{_STATE}.rocksdb.writeBufferCacheRatio": "0.5",
+    f"{_STATE}.rocksdb.highPriorityPoolRatio": "0.1",
+    f"{_STATE}.rocksdb.writeBufferSizeMB": "1",
+    f"{_STATE}.rocksdb.maxWriteBufferNumber": "2",
+    # A store is closed, and its local files go, when its task has committed.
+    f"{_STATE}.unloadOnCommit": "true",
+}
 #: Hit digests of which at most so many are broadcast (64-byte strings).
 BROADCAST_DIGESTS = 100_000
 #: Parts that the full-byte check of one digest is split into.
@@ -54,8 +65,9 @@ def run_stream(spark: SparkSession, log: str, schema, folder: str) -> DataFrame:
     """Drive the stateful operator over the fingerprint log in ``folder`` and
     return its newest state per digest. Calling it again with the same folder
     continues from the stored state with rows added to the log since."""
-    old = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, _ROCKS)
+    old = {k: spark.conf.get(k, None) for k in _CONF}
+    for k, v in _CONF.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(schema).parquet(log)
 
@@ -72,7 +84,8 @@ def run_stream(spark: SparkSession, log: str, schema, folder: str) -> DataFrame:
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(_PROVIDER, old)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     states = spark.read.parquet(f"{folder}/groups")
     return states.groupBy("digest").agg(
         F.max(F.struct("batch", "head", "group_size")).alias("last")
