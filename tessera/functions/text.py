@@ -92,15 +92,21 @@ def format_bytes(n) -> Column:
     n = _col(n)
     out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
     for k, unit in enumerate(("KiB", "MiB", "GiB"), 1):
-        out = out.when(n < 1024.0 ** (k + 1), F.concat(F.format_number(n / 1024.0**k, "0.0"), F.lit(f" {unit}")))
-    return out.otherwise(F.concat(F.format_number(n / 1024.0**4, "0.0"), F.lit(" TiB")))
+        out = out.when(n < 1024.0 ** (k + 1), F.format_string(f"%.1f {unit}", n / 1024.0**k))
+    return out.otherwise(F.format_string("%.1f TiB", n / 1024.0**4))
 
 
 def format_duration(nanos) -> Column:
+    """The unit that suits the length: ns, µs, ms or s."""
     n = _col(nanos).cast("double")
-    show = lambda x, pattern, unit: F.concat(F.format_number(x, pattern), F.lit(unit))
-    return F.when(n < 1e3, show(n, "0", " ns")).when(n < 1e6, show(n / 1e3, "0.0", " µs")).when(n < 1e9, show(n / 1e6, "0.00", " ms")).otherwise(show(n / 1e9, "0.00", " s"))
+    return (
+        F.when(n < 1e3, F.format_string("%.0f ns", n))
+        .when(n < 1e6, F.format_string("%.1f µs", n / 1e3))
+        .when(n < 1e9, F.format_string("%.2f ms", n / 1e6))
+        .otherwise(F.format_string("%.2f s", n / 1e9))
+    )
 
 
 def format_count(n) -> Column:
+    """With thousands separators."""
     return F.format_number(_col(n), 0)

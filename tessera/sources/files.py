@@ -10,8 +10,8 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..errors import IngestError
 from ..functions.text import EXTENSIONS
@@ -67,15 +67,45 @@ def discover(roots: list[str], *, max_file_bytes: int = MAX_FILE_BYTES) -> Disco
     return out
 
 
-def read_files(spark: SparkSession, found: Discovery) -> DataFrame:
-    """path, kind, n_bytes, text for every file; text is null if it is not UTF-8."""
+def _open(path: str) -> bytes | None:
+    """Bytes of a file on a mount that all executors share, or by URI; None if unreadable."""
+    try:
+        if "://" in path:
+            from pyarrow import fs
+
+            system, inner = fs.FileSystem.from_uri(path)
+            with system.open_input_stream(inner) as f:
+                return f.read()
+        with open(path, "rb") as f:
+            return f.read()
+    except OSError:
+        return None
+
+
+def _utf8(raw: bytes | None) -> str | None:
+    try:
+        return None if raw is None else raw.decode()
+    except UnicodeDecodeError:
+        return None
+
+
+def _read(stream):
+    for batch in stream:
+        for k in range(batch.num_rows):  # one file at a time: files may be large
+            row = batch.slice(k, 1)
+            path = row.column(0)[0].as_py()
+            raw = _open(path if "://" in path else row.column(2)[0].as_py())
+            yield pa.RecordBatch.from_arrays(
+                [row.column(0), row.column(1), pa.array([None if raw is None else len(raw)], pa.int64()), pa.array([_utf8(raw)], pa.string())], names=["path", "kind", "n_bytes", "text"]
+            )
+
+
+def read_files(spark: SparkSession, found: Discovery, *, files_per_task: int = 256) -> DataFrame:
+    """path, kind, n_bytes, text for every file; text is null if it cannot be
+    read or is not UTF-8. Spark's own file sources are not used, as they leave
+    out names that begin with an underscore or a dot."""
     schema = "path string, kind string, n_bytes long, text string"
     if not found.files:
         return spark.createDataFrame([], schema)
-    absolute = [os.path.abspath(p) for p, _ in found.files]
-    names = spark.createDataFrame([(a, p, k) for a, (p, k) in zip(absolute, found.files)], "file string, path string, kind string")
-    raw = spark.read.format("binaryFile").option("__globPaths__", "false").load([f"file://{a}" for a in absolute])
-    raw = raw.select(F.url_decode(F.regexp_replace("path", r"\+", "%2B")).alias("uri"), "content", "length")
-    raw = raw.withColumn("file", F.regexp_replace("uri", r"^file:/+", "/"))
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
-    return names.join(raw, "file", "left").select("path", "kind", F.col("length").alias("n_bytes"), text.alias("text"))
+    names = spark.createDataFrame([(p, k, os.path.abspath(p)) for p, k in found.files], "path string, kind string, file string")
+    return names.repartition(max(1, len(found.files) // files_per_task)).mapInArrow(_read, schema)
