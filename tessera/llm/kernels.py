@@ -146,3 +146,19 @@ def batches(stream, limit: int = 8 << 20):
         for k in range(0, n, step):
             piece = batch.slice(k, step)
             yield piece
+
+
+def release() -> None:
+    """Give memory that earlier batches have freed back to the system: worker
+    processes live on, and executors count all of them."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+try:
+    import ctypes
+
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # not the GNU C library
+    _trim = None

@@ -39,12 +39,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import workspace
-from .kernels import batches, mix64, split_words, text_buffer
+from .kernels import batches, mix64, release, split_words, text_buffer
 from .quality import remainder
 
 FOLDS, HELD, DEV = 10, 0, 9
-CHUNK_BYTES = 12 << 20
-SHARD_BYTES = 24 << 20
+CHUNK_BYTES = 6 << 20
+SHARD_BYTES = 12 << 20
 BUCKETS = 24
 STEPS = 4
 ROUNDS = 60
@@ -71,30 +71,36 @@ class Chunk:
 
     def __init__(self, column: pa.Array, folds: np.ndarray):
         words = split_words(*text_buffer(column))
-        n = len(words.counts)
-        self.sizes = words.counts + 1
+        hashes, counts = words.hashes, words.counts
+        del words
+        n = len(counts)
+        self.sizes = counts + 1
         ends = np.cumsum(self.sizes)
         total = int(ends[-1]) if n else 0
         tokens = np.full(total, _END)
         inner = np.ones(total, bool)
         inner[ends - 1] = False
-        tokens[inner] = words.hashes
+        tokens[inner] = hashes
+        del hashes
         context = np.empty(total, np.uint64)
         context[1:] = tokens[:-1]
         context[ends - self.sizes] = _START
         self.starts, self.total = ends - self.sizes, total
         pairs = mix64(context * _PAIR + tokens)
         self.tokens, token_of = np.unique(tokens, return_inverse=True)
-        self.pairs, first, self.pair_of = np.unique(pairs, return_index=True, return_inverse=True)
+        self.token_of = token_of.astype(np.int32)
+        del tokens, token_of
+        self.pairs, first, pair_of = np.unique(pairs, return_index=True, return_inverse=True)
+        self.pair_of = pair_of.astype(np.int32)
+        del pairs, pair_of
         fold = np.repeat(folds, self.sizes)
         self.train = fold != HELD
         self.dev = fold == DEV
         # The start of a text is a context as often as the end is a token.
-        self.token_of_pair = token_of[first]
+        self.token_of_pair = self.token_of[first]
         seen = context[first]
         at = np.searchsorted(self.tokens, np.where(seen == _START, _END, seen))
         self.context_of_pair = at
-        self.token_of = token_of
 
     def counts(self):
         count = lambda of, mask, n: np.bincount(of[mask], minlength=n)
@@ -138,7 +144,9 @@ def _slices(keys: np.ndarray, shards: int) -> np.ndarray:
 def _ask(shards: int, limit: int):
     def run(stream):
         for name, table in _cut(stream, limit):
+            release()
             chunk = Chunk(table.column(2), np.asarray(table.column(1)))
+            del table
             tt, td, pt, pd = chunk.counts()
             ts, ps = _slices(chunk.tokens, shards), _slices(chunk.pairs, shards)
             rows = []
@@ -150,6 +158,7 @@ def _ask(shards: int, limit: int):
             if len(held):
                 # Travels with the questions to be stored beside the answers.
                 rows.append((-1 - int.from_bytes(name[:3], "little") % shards, name, -1, held.astype(np.uint32).tobytes(), pack(pd[held]), chunk.token_of_pair[held].astype(np.uint32).tobytes(), chunk.context_of_pair[held].astype(np.uint32).tobytes(), None, None))
+            del chunk, tt, td, pt, pd
             for lo in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[lo : lo + 64]), _ASK)], schema=_ASK)
 
@@ -176,6 +185,7 @@ _ANSWER_SQL = "chunk binary, part int, a binary, b binary, c binary, d binary, n
 
 
 def _answer(table: pa.Table) -> pa.Table:
+    release()
     column = lambda name: table.column(name).to_pylist()
     chunk, part = column("chunk"), column("part")
     n = len(chunk)
@@ -257,6 +267,7 @@ def _score(n: int, v: int, weights: np.ndarray):
     def run(texts: pa.Table, answered: pa.Table) -> pa.Table:
         if not texts.num_rows or not answered.num_rows:
             raise RuntimeError("a chunk has no answers")
+        release()
         order = np.argsort(np.asarray(texts.column("place").combine_chunks()), kind="stable")
         texts = texts.take(pa.array(order))
         folds = np.asarray(texts.column("fold").combine_chunks())

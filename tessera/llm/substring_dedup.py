@@ -13,7 +13,8 @@ Three passes keep the shuffle far below one row per window:
    fingerprints (128 bits), and the first start of each is found.
 3. Intervals. Starts that are not first are gathered per document and merged.
 
-Before each shuffle a task settles what it can alone: of the anchors and
+Rows that repeat the text of a smaller doc_id are settled by digest, without
+their windows. Before each shuffle a task settles what it can alone: of the anchors and
 windows that occur several times in its own rows, only the first is sent on.
 A passage that a third of all documents share thus reaches a reducer once per
 task. A task holds at most BUFFER entries at a time.
@@ -123,7 +124,7 @@ def _anchors(window: int, gram: int, buffer: int):
     return run
 
 
-_READ = "doc_id long, doc long, tag long, n_words long, whole_sha256 string, text string, sure array<int>, h1 array<long>, h2 array<long>, start array<int>"
+_READ = "doc_id long, doc long, tag long, copy boolean, n_words long, whole_sha256 string, text string, sure array<int>, h1 array<long>, h2 array<long>, start array<int>"
 
 
 def _kept_hash(data: bytes, words, lo: int, hi: int, keep: np.ndarray | None) -> str:
@@ -174,7 +175,7 @@ def _windows(window: int):
             texts = batch.column(3).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), batch.column(1), batch.column(2), pa.array(words.counts, pa.int64()), pa.array(hashes), pa.array([t if m else None for t, m in zip(texts, marked)], pa.string()),
+                    batch.column(0), batch.column(1), batch.column(2), batch.column(5), pa.array(words.counts, pa.int64()), pa.array(hashes), pa.array([t if m else None for t, m in zip(texts, marked)], pa.string()),
                     pa.array(sure, pa.list_(pa.int32())), *[pa.array([p[j] for p in parts], pa.list_(t)) for j, t in enumerate((pa.int64(), pa.int64(), pa.int32()))],
                 ],
                 names=[x.split()[0] for x in _READ.split(", ")],
@@ -223,23 +224,35 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, b
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").alias("tag"), "text")
 
+    # A row with the text of a smaller doc_id goes as a whole: its windows all start there earlier.
+    marks = workspace.materialise(rows.select("doc", "tag", F.md5(F.col("text").cast("binary")).alias("digest")), "repeats-marks")
+    groups = marks.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    copies = workspace.materialise(marks.join(groups, "digest").where("doc > first").select("doc", "tag").distinct(), "repeats-copies")
+
     found = rows.select("doc", "tag", "text").mapInArrow(_anchors(window, min(gram, window), buffer), "anchor long, salt int, times int, doc long, tag long, start int, many int")
     total = F.sum("times").over(Window.partitionBy("anchor", "salt"))
-    spans = found.withColumn("total", total).where("total > 1").groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "many")).alias("spans"))
-    spans = workspace.materialise(spans, "repeats-spans")
-    few = spans.count() <= BROADCAST_ROWS
-    # Only the keys are broadcast; the spans meet the texts in a shuffle of texts that have some.
-    keys = spans.select("doc", "tag").withColumn("hit", F.lit(True))
-    marked = rows.join(F.broadcast(keys) if few else keys, ["doc", "tag"], "left")
-    marked = marked.where("hit").drop("hit").join(spans, ["doc", "tag"]).unionByName(marked.where("hit is null").drop("hit").withColumn("spans", F.lit(None).cast("array<struct<start:int,many:int>>"))) if few else rows.join(spans, ["doc", "tag"], "left")
-    read = workspace.materialise(marked.select("doc_id", "doc", "tag", "text", "spans").mapInArrow(_windows(window), _READ), "repeats-windows")
+    repeated = found.withColumn("total", total).where("total > 1").join(copies, ["doc", "tag"], "left_anti")
+    spans = repeated.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "many")).alias("spans")).withColumn("copy", F.lit(False))
+    spans = workspace.materialise(spans.unionByName(copies.select("doc", "tag", F.lit(None).cast("array<struct<start:int,many:int>>").alias("spans"), F.lit(True).alias("copy"))), "repeats-spans")
+    if spans.count() <= BROADCAST_ROWS:
+        # Only keys are broadcast; spans meet texts in a shuffle of the texts that have some.
+        keyed = rows.join(F.broadcast(spans.select("doc", "tag", "copy")), ["doc", "tag"], "left")
+        whole = keyed.where("copy is null or copy").withColumn("spans", F.lit(None).cast("array<struct<start:int,many:int>>"))
+        marked = keyed.where("not copy").join(spans.select("doc", "tag", "spans"), ["doc", "tag"]).unionByName(whole)
+    else:
+        marked = rows.join(spans, ["doc", "tag"], "left")
+    read = workspace.materialise(marked.select("doc_id", "doc", "tag", "text", "spans", "copy").mapInArrow(_windows(window), _READ), "repeats-windows")
 
     seen = read.where("size(start) > 0").select("doc", "tag", F.explode(F.arrays_zip("h1", "h2", "start")).alias("x")).select("doc", "tag", "x.h1", "x.h2", "x.start")
     place = F.rank().over(Window.partitionBy("h1", "h2").orderBy("doc", "start"))
     later = seen.withColumn("place", place).where("place > 1").groupBy("doc", "tag").agg(F.collect_list("start").alias("more"))
     texts = read.where("text is not null").select("doc_id", "doc", "tag", "n_words", "whole_sha256", "text", "sure").join(later, ["doc", "tag"], "left")
     cut = texts.select("doc_id", "n_words", "whole_sha256", "text", "sure", "more").mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<begin:long,end:long>>")
-    clean = read.where("text is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("whole_sha256").alias("kept_sha256"), F.array().cast("array<struct<begin:long,end:long>>").alias("removed"))
+    gone = F.coalesce("copy", F.lit(False)) & (F.col("n_words") >= window)
+    interval = F.when(gone, F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("n_words").alias("end")))).otherwise(F.array().cast("array<struct<begin:long,end:long>>"))
+    removed = F.when(gone, F.col("n_words")).otherwise(F.lit(0).cast("long"))
+    kept = F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("whole_sha256"))
+    clean = read.where("text is null").select("doc_id", "n_words", removed.alias("n_removed"), kept.alias("kept_sha256"), interval.alias("removed"))
     return cut.unionByName(clean)
 
 

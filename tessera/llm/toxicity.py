@@ -78,13 +78,6 @@ def hashed_features(column: pa.Array, dimensions: int = DIMENSIONS) -> tuple[np.
     return (keys & np.uint64(0xFFFFFFFF)).astype(np.int32), np.searchsorted(who, np.arange(n + 1))
 
 
-def _features(stream):
-    for batch in batches(stream):
-        buckets, ends = hashed_features(batch.column(1))
-        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(buckets))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists], names=["doc_id", "y", "buckets"])
-
-
 def ftrl_epoch(z: np.ndarray, n: np.ndarray, buckets: np.ndarray, ends: np.ndarray, ys: np.ndarray) -> None:
     """One pass of FTRL-proximal over the rows, in place; all features are 1."""
     for k in range(len(ys)):
@@ -105,12 +98,9 @@ def _train(shared, dimensions):
     def run(stream):
         z, n = (x.astype(np.float64) for x in shared.value)
         seen = 0
-        for batch in stream:
-            if not batch.num_rows:
-                continue
-            lists = batch.column(1)
-            ends = np.r_[0, np.cumsum(np.asarray(lists.value_lengths()))]
-            ftrl_epoch(z, n, np.asarray(lists.flatten()), ends, np.asarray(batch.column(0)))
+        for batch in batches(stream):
+            buckets, ends = hashed_features(batch.column(1), dimensions)
+            ftrl_epoch(z, n, buckets, ends, np.asarray(batch.column(0)))
             seen += batch.num_rows
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), *[pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (z, n)]], names=["rows", "z", "n"])
@@ -119,9 +109,11 @@ def _train(shared, dimensions):
 
 
 def fit(train: DataFrame, *, dimensions: int = DIMENSIONS, shards: int = SHARDS, epochs: int = EPOCHS) -> np.ndarray:
-    """Dense weights from rows (y, buckets); the state is shards x 8 MB an epoch."""
+    """Dense weights from rows (y, text); the state is shards x 8 MB an epoch.
+    Texts are stored by shard and hashed anew in each epoch: their features
+    would take several times the room."""
     sc = train.sparkSession.sparkContext
-    dealt = train.repartition(shards).select("y", "buckets")
+    dealt = workspace.materialise(train.select("y", "text").repartition(shards), "toxic-train").coalesce(shards)
     state = (np.zeros(dimensions, np.float32), np.zeros(dimensions, np.float32))
     for _ in range(epochs):
         shared = sc.broadcast(state)
@@ -169,8 +161,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, max_fit: int = MAX_FIT
     n, ones = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     if n and 0 < ones < n:
         # About max_fit rows of 16 bytes at most: a bounded broadcast, and texts stay where they are.
-        rows = texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "y").mapInArrow(_features, "doc_id long, y double, buckets array<int>")
-        weights = fit(workspace.materialise(rows, "toxic-train"))
+        weights = fit(texts.join(F.broadcast(known), "doc_id"))
         used = np.flatnonzero(weights)
         model = (used.astype(np.int32), weights[used], None, DIMENSIONS)
     else:
