@@ -17,8 +17,10 @@ Counts are exact over the whole corpus and are never gathered in one place:
 3. Held-out pairs of each chunk meet the answers, and a bounded histogram of
    (bucket, pair estimate, token estimate) goes to the driver for EM.
 4. Each chunk's texts meet its answers and are scored.
-Chunks are named by their documents, so a chunk that another run of a task cut
-differently could not be answered wrongly: it would fail.
+Chunks are named by their documents and the scan's splits are held fixed, so a
+task that runs again cuts the same chunks; one cut differently could not be
+answered wrongly: it would fail. ``docs`` is therefore a stored table, not the
+output of a shuffle whose rows come in another order each time.
 
 Defined results
 * null or empty text is the end alone; a null doc_id counts as the empty id
@@ -307,6 +309,7 @@ def score_documents(docs: DataFrame, *, chunk_bytes: int = CHUNK_BYTES, shard_by
     every row of ``docs`` (doc_id, text), learnt from those not held out."""
     spark = docs.sparkSession
     workspace.ship(spark)
+    workspace.steady_splits(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", remainder(FOLDS).cast("int").alias("fold"), "text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(4, math.ceil(size / shard_bytes))

@@ -53,6 +53,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def steady_splits(spark: SparkSession) -> None:
+    """Have scans of one table cut alike all through a job: their number of
+    splits otherwise follows the cores that are there just then, and changes
+    when executors are lost or added between two scans."""
+    key = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a scratch folder through Spark's own file system layer."""
     jvm = spark.sparkContext._jvm
