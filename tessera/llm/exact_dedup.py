@@ -31,7 +31,7 @@ _STATE = "spark.sql.streaming.stateStore"
 _CONF = {
     f"{_STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     f"{_STATE}.rocksdb.boundedMemoryUsage": "true",
-    f"{_STATE}.rocksdb.maxMemoryUsageMB": "128",
+    f"{_STATE}.rocksdb.maxMemoryUsageMB": "64",
     f"{_STATE}.rocksdb.writeBufferCacheRatio": "0.5",
     f"{_STATE}.rocksdb.highPriorityPoolRatio": "0.1",
     f"{_STATE}.rocksdb.writeBufferSizeMB": "1",

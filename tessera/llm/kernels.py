@@ -14,7 +14,7 @@ _WS = np.zeros(256, bool)
 _WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -133,8 +133,11 @@ def window_owner(counts: np.ndarray, size: int) -> np.ndarray:
     return owner[:n] == owner[size - 1 : size - 1 + n]
 
 
-def batches(stream, limit: int = 8 << 20):
-    """Cut Arrow batches so that each holds about ``limit`` bytes at most, or one row."""
+def batches(stream, limit: int = 2 << 20):
+    """Cut Arrow batches so that each holds about ``limit`` bytes at most, or one
+    row. Working arrays are several times a batch; they stay small, and a worker
+    gives its memory back before and after a task's rows."""
+    release()
     for batch in stream:
         n = batch.num_rows
         if batch.nbytes <= limit or n <= 1:
@@ -144,8 +147,9 @@ def batches(stream, limit: int = 8 << 20):
         parts = min(n, int(batch.nbytes // limit) + 1)
         step = max(1, n // parts)
         for k in range(0, n, step):
-            piece = batch.slice(k, step)
-            yield piece
+            yield batch.slice(k, step)
+        del batch
+    release()
 
 
 def release() -> None:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import workspace
 from .components import connected_components
-from .kernels import batches, mix64, split_words, text_buffer, windows
+from .kernels import batches, mix64, release, split_words, text_buffer, windows
 
 SHINGLE = 5
 SIMILARITY = 80
@@ -179,6 +179,7 @@ _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 def _verify(percent: int, k: int):
     def run(table: pa.Table) -> pa.Table:
+        release()
         family = np.asarray(table.column("family").combine_chunks())
         ids = np.asarray(table.column("rep").combine_chunks())
         side = np.asarray(table.column("side").combine_chunks())
@@ -191,7 +192,10 @@ def _verify(percent: int, k: int):
             sets = [np.frombuffer(items[int(r)].as_py(), np.uint64) for r in rows]
             sides = side[rows]
             out += compare(ids[rows].tolist(), sets, sides if sides.any() else None, percent, k)
-        return pa.Table.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], schema=_LINKS)
+        links = pa.Table.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], schema=_LINKS)
+        del table, family, ids, side, items, order
+        release()
+        return links
 
     return run
 

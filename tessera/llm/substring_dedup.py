@@ -41,6 +41,8 @@ from .kernels import batches, split_words, text_buffer, windows
 WINDOW = 20
 GRAM = 8
 BUFFER = 3_000_000
+#: Text in a batch: the more, the more repeats are settled inside a task.
+BATCH_BYTES = 8 << 20
 #: Row keys of which at most so many are broadcast (16 bytes each).
 BROADCAST_ROWS = 200_000
 _SECOND = 0xA0761D6478BD642F
@@ -95,7 +97,7 @@ def _anchors(window: int, gram: int, buffer: int):
                 yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 65536].astype(f.type.to_pandas_dtype())) for c, f in zip(columns, _ANCHORS)], schema=_ANCHORS)
 
         size = 0
-        for batch in batches(stream):
+        for batch in batches(stream, BATCH_BYTES):
             words = split_words(*text_buffer(batch.column(2)), lower=False)
             grams = windows(words.hashes, gram)
             count = max(0, len(words.hashes) - window + 1)
@@ -139,7 +141,7 @@ def _windows(window: int):
     fingerprints of the windows in those spans (the first of each per batch)."""
 
     def run(stream):
-        for batch in batches(stream):
+        for batch in batches(stream, BATCH_BYTES):
             data, offsets = text_buffer(batch.column(3))
             words = split_words(data, offsets, lower=False)
             raw = data.tobytes()
@@ -195,7 +197,7 @@ def merge_intervals(starts, window: int) -> list[tuple[int, int]]:
 
 def _remove(window: int):
     def run(stream):
-        for batch in batches(stream):
+        for batch in batches(stream, BATCH_BYTES):
             data, offsets = text_buffer(batch.column(3))
             words = split_words(data, offsets, lower=False, hashed=False)
             raw, at = data.tobytes(), words.offsets

@@ -11,6 +11,8 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Arrow batches hold whole texts of any length, so rows alone do not bound them.
+BATCH_BYTES = 4 << 20
 _local_root: str | None = None
 
 
@@ -71,7 +73,11 @@ def discard(spark: SparkSession, path: str) -> None:
 
 def ship(spark: SparkSession) -> None:
     """Send this package's code to the executors, once per application, so
-    that they need no copy of the repository."""
+    that they need no copy of the repository; and bound Arrow batches in bytes
+    where the session does not."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
