@@ -123,7 +123,7 @@ def _cut(stream, limit):
         name.update(text_buffer(table.column(2))[1].tobytes())
         return name.digest(), table
 
-    for batch in batches(stream, limit):
+    for batch in batches(stream, max(1, limit // 4)):
         if held and size + batch.nbytes > limit:
             yield chunk()
             held, size = [], 0
