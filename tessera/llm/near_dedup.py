@@ -5,8 +5,11 @@
 2. A class keeps the k smallest hashes of its set. Inverted lists hold, for
    every run of RUN consecutive retained values, the classes that retain it.
    Two sets of similarity s share such a run unless none of the k positions of
-   their common order starts RUN agreements: at s = 0.85, k = 64 and RUN = 3
-   that has probability 2e-13. Sets of up to k shingles are kept whole.
+   their common order starts RUN agreements: with k = 64 and RUN = 3 that has
+   probability 2e-13 at s = 0.85 and 1.3e-10 at s = 0.8. Sets of up to k
+   shingles are kept whole; where the threshold lets two of them share no run
+   of RUN (at 0.8, 4 shingles of 5), shorter runs are listed too, so that no
+   pair of such sets is missed.
 3. The classes of a list are tied to the list's first class; tied classes are
    a family. All pairs that share a run stand in one family.
 4. Inside a family, classes are dealt into bands by set size (a link needs
@@ -200,6 +203,24 @@ def _verify(percent: int, k: int):
     return run
 
 
+def shortest_runs(percent: int, k: int) -> dict[int, int]:
+    """For sizes of up to ``k`` that can be linked with another set: the length of
+    run that a set kept whole shares, at least, with every set linked to it."""
+    out: dict[int, int] = {}
+    for n in range(1, k + 1):
+        for both in range(1, n + 1):
+            # So many values may be in one of the two sets only; they part the shared ones.
+            apart = both * (100 - percent) // max(1, percent)
+            if apart >= max(1, n - both):
+                out[n] = min(out.get(n, both), -(-both // (apart + 1)))
+    return out
+
+
+def _runs(classes: DataFrame, length: int) -> DataFrame:
+    starts = F.sequence(F.lit(1), F.size("sketch") - (length - 1))
+    return classes.where(F.size("sketch") >= length).select("rep", F.explode(F.transform(starts, lambda i: F.xxhash64(*[F.element_at("sketch", (i + j).cast("int")) for j in range(length)]))).alias("key"))
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = SIMILARITY, k: int = K, run: int = RUN) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id,
     text): documents are linked if 100 * |intersection| >= percent * |union|."""
@@ -212,10 +233,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = S
     classes = workspace.materialise(classes.select("h1", "h2", F.col("first.doc_id").alias("rep"), F.col("first.n_shingles").alias("n"), F.col("first.sketch").alias("sketch")), "near-classes")
 
     # A set of n shingles can be linked with another set only if n / (n + 1) reaches the threshold.
-    least = max(run, math.ceil(percent / max(1, 100 - percent)))
-    keys = classes.where(F.col("n") >= least).select(
-        "rep", F.explode(F.transform(F.sequence(F.lit(1), F.size("sketch") - (run - 1)), lambda i: F.xxhash64(*[F.element_at("sketch", (i + j).cast("int")) for j in range(run)]))).alias("key")
-    )
+    shortest = shortest_runs(percent, k)
+    keys = _runs(classes.where(F.col("n") >= min(shortest, default=k + 1)), run)
+    for length in range(1, run):
+        sizes = [n for n, least in shortest.items() if least <= length]
+        if sizes:
+            keys = keys.unionByName(_runs(classes.where(F.col("n").isin(sizes)), length))
     keys = workspace.materialise(keys, "near-lists")
     heads = keys.groupBy("key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     ties = keys.join(heads, "key").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()

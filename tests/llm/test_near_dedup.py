@@ -1,4 +1,5 @@
 import collections
+import itertools
 import random
 
 import numpy as np
@@ -57,6 +58,34 @@ def test_a_large_family_is_compared_in_blocks(spark, monkeypatch):
     assert answer(N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=85)) == brute(rows, 3, 85)
 
 
+def test_small_sets_at_the_threshold_are_linked_in_every_order(spark):
+    # Texts of 9 words and the same without the last: 4 of 5 shingles. Its hash ranks anywhere among the five.
+    rows, ranks = [], set()
+    for n in range(40):
+        w = [f"v{n}.{j}" for j in range(9)]
+        rows += [(2 * n, " ".join(w)), (2 * n + 1, " ".join(w[:8]))]
+        whole, part = N.shingle_sets(pa.array([rows[-2][1], rows[-1][1]]), 5)
+        ranks.add(int(np.flatnonzero(~np.isin(whole, part))[0]))
+    assert ranks == set(range(5))
+    assert answer(N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows, 5, 80)
+
+
+def test_low_thresholds_miss_no_small_sets(spark):
+    rows = [(1, "a"), (2, "a b"), (3, "c d e"), (4, "d x y"), (5, "f g h i"), (6, "f g p q")]
+    assert answer(N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=1, percent=33)) == brute(rows, 1, 33)
+
+
+@pytest.mark.parametrize("percent", [50, 67, 75, 80, 85, 95])
+def test_shortest_runs_hold_in_every_order(percent):
+    shortest = N.shortest_runs(percent, 64)
+    for both, left, right in itertools.product(range(1, 6), range(3), range(3)):
+        if not left + right or 100 * both < percent * (both + left + right):
+            continue
+        for marks in set(itertools.permutations("s" * both + "l" * left + "r" * right)) if both + left + right < 8 else ():
+            longest = max(len(x) for x in "".join(marks).replace("l", "|").replace("r", "|").split("|"))
+            assert longest >= max(shortest[both + left], shortest[both + right])
+
+
 def test_edge_rows(spark):
     rows = [(1, None, "s"), (2, "", "s"), (3, " \n", "s"), (4, "One", "s"), (5, "one", "s"), (6, "one two", "s"), (7, "ONE TWO", "s"), (None, "one", "s"), (9, "a b c d e", "s"), (9, "one", "s"), (10, "A b c d e", "s")]
     got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, kept string"), shingle=3, percent=85).collect()
