@@ -4,11 +4,15 @@ A page is read as a stream of standard-library parser events. Events become
 lines (one per block of running text) that know their text, the tags they
 hold and the region they stand in. The text-to-tag ratio of each line is
 smoothed with a Gaussian; a threshold at half the standard deviation marks
-content lines, and the smallest region that holds the bulk of the marked text
-is the article. Lines of that region come out whole and in page order, so a
-short paragraph in an article is never lost; lines in regions that are not
-running text by their markup (menus, headers of the page, footers, sidebars,
-forms, adverts, notices, reader comments, scripts and styles) never count.
+content lines. An <article> or <main> that holds the bulk of the marked text is
+the article, with the articles beside it. On other pages it is the smallest
+region that holds nearly all of the marked text; regions outside it that are
+mostly running text come out too, of others the lines that reach the threshold
+by themselves, and the title and headings that lead to any of these. Lines of
+the article come out whole and in page order, so a short paragraph in it is
+never lost; lines in regions that are not running text by their markup (menus,
+headers of the page, footers, sidebars, forms, adverts, notices, reader
+comments, scripts and styles) never count.
 
 Defined results: null, empty or unparsable html gives an empty text; a page
 without any marked region falls back to all its content lines; rows repeated
@@ -30,10 +34,16 @@ from . import workspace
 from .kernels import batches
 
 SIGMA = 1.0
-#: Share of the marked text that the article's region has to hold.
+#: Share of the marked text that an <article> or <main> has to hold, and share of
+#: running text in a region that comes out whole beside the article.
 BULK = 0.5
+#: Share of the marked text that the article's region has to hold on other pages.
+NEARLY = 0.9
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset(("script", "style"))
+_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_BLOCKS = _HEADINGS | {"p", "pre", "blockquote", "li"}
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _NOISE_TAGS = frozenset("nav footer aside form script style noscript template head title button select option textarea iframe object svg canvas dialog menu audio video input datalist".split())
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
@@ -96,8 +106,20 @@ class _Lines(HTMLParser):
                 self.tags = 0
             self.text.clear()
 
+    def _leave_head(self, anywhere=False):
+        """</head> may be omitted: the body, or content that cannot stand in a head, ends it."""
+        for k in range(len(self.stack) - 1, 0, -1):
+            if self.stack[k][0] == "head":
+                self.flush()
+                self._close(k)
+                return
+            if not anywhere:
+                return
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
+        if tag not in _HEAD:
+            self._leave_head(anywhere=tag == "body")
         if tag in _INLINE:
             if tag not in _VOID and any(n in ("class", "id", "role", "hidden", "style", "aria-hidden") for n, _ in attrs) and _noise(tag, attrs, bool(self.articles)):
                 self.flush()
@@ -145,6 +167,8 @@ class _Lines(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.stack[-1][0] == "head" and data.strip():
+            self._leave_head()
         if not self.stack[-1][2]:
             self.text.append(data)
 
@@ -178,20 +202,46 @@ def content_blocks(html: str | None, *, sigma: float = SIGMA, bulk: float = BULK
             while region >= 0:
                 weight[region] = weight.get(region, 0.0) + n
                 region = parser.parents[region]
-    # The smallest region with the bulk of the marked text; an article of the page's own making goes first.
+    # An article of the page's own making goes first, with those beside it.
     named = [r for r in weight if parser.kinds[r] in ("article", "main") and weight[r] >= bulk * total]
     if named:
         best = min(named, key=lambda r: (weight[r], -r))
-    else:
-        best = max((r for r in weight if weight[r] > bulk * total and parser.kinds[r] not in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "li")), default=0)
-    out = []
-    for region, text, _ in lines:
-        r = region
-        while r > best:
-            r = parser.parents[r]
-        if r == best:
-            out.append(text)
-    return out
+        roots = {best} | {r for r in weight if parser.kinds[r] == parser.kinds[best] and parser.parents[r] == parser.parents[best]}
+        return [text for (region, text, _) in lines if _within(parser.parents, region, roots) >= 0]
+    best = max((r for r in weight if weight[r] >= NEARLY * total and parser.kinds[r] not in _BLOCKS), default=0)
+    roots = {best}
+    # Text outside counts by its own ratio, not by that of the lines around it.
+    own = marked & (size / np.maximum(1.0, np.array([x[2] for x in lines], float)) >= 0.5 * ratio.std())
+    outside = [k for k, x in enumerate(lines) if _within(parser.parents, x[0], roots) < 0]
+    all_of, own_of = {}, {}
+    for k in outside:
+        region = lines[k][0]
+        while region >= 0:
+            all_of[region] = all_of.get(region, 0.0) + size[k]
+            own_of[region] = own_of.get(region, 0.0) + size[k] * own[k]
+            region = parser.parents[region]
+    above, r = set(), best
+    while r >= 0:
+        above.add(r)
+        r = parser.parents[r]
+    roots |= {r for r in all_of if r not in above and own_of[r] > bulk * all_of[r]}
+    taken = np.array([_within(parser.parents, x[0], roots) >= 0 for x in lines]) | own
+    # Headings of what comes out; the page's title with the text between.
+    heads = [parser.kinds[x[0]] in _HEADINGS for x in lines]
+    for k in range(len(lines) - 2, -1, -1):
+        taken[k] |= heads[k] and taken[k + 1]
+    first = int(np.argmax(taken))
+    title = max((k for k in range(first) if parser.kinds[lines[k][0]] == "h1"), default=first)
+    for k in range(title, first):
+        taken[k] |= parser.kinds[lines[k][0]] in _BLOCKS - {"li"}
+    return [x[1] for x, good in zip(lines, taken) if good]
+
+
+def _within(parents: list[int], region: int, roots: set[int]) -> int:
+    """The innermost of ``roots`` around a region, or -1."""
+    while region >= 0 and region not in roots:
+        region = parents[region]
+    return region
 
 
 def _run(stream):

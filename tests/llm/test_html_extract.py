@@ -23,6 +23,31 @@ def test_pages_without_an_article_tag():
     assert H.content_blocks(page) == [text.strip(), "Short one.", text.strip()]
 
 
+def test_sections_and_titles_are_kept_without_an_article_tag():
+    a, b = ("Some plain running text that goes on for quite a while here. " * n for n in (6, 4))
+    a, b = a.strip(), b.strip()
+    nested = f"<body><div id=content><h1>T</h1><div><p>{a}</p></div><div><p>{b}</p></div></div></body>"
+    assert H.content_blocks(nested) == ["T", a, b]
+    beside = f"<body><h1>T</h1><div><p>{a}</p><p>{b}</p></div></body>"
+    assert H.content_blocks(beside) == ["T", a, b]
+    inner = f"<body><div><h1>T</h1></div><p>By me</p><div><p>{a}</p><p>{b}</p></div></body>"
+    assert H.content_blocks(inner) == ["T", "By me", a, b]
+    last = "One short closing section that stands in a region of its own."
+    small = f"<body><div><p>{a}</p><p>{a}</p><p>{b}</p></div><div><h2>End</h2><p>{last}</p></div></body>"
+    assert H.content_blocks(small) == [a, a, b, "End", last]
+
+
+def test_articles_side_by_side_are_all_kept():
+    a, b = ("Some plain running text that goes on for quite a while here. " * n for n in (6, 4))
+    assert H.content_blocks(f"<main><article><p>{a}</p></article><article><p>{b}</p></article></main>") == [a.strip(), b.strip()]
+
+
+def test_an_omitted_end_of_head_closes_it():
+    text = "A long paragraph of plain running text that goes on for a while."
+    for start in ("<body>", "<p>", "<div>", "", "<b>", "<noscript><link rel=x></noscript><body>"):
+        assert H.content_blocks(f"<html><head><title>T</title><meta charset=utf-8><style>p{{}}</style>{start}{text}") == [text], start
+
+
 def test_odd_pages():
     assert H.content_blocks(None) == H.content_blocks("") == H.content_blocks("<p></p>") == []
     assert H.content_blocks("just text") == ["just text"]
