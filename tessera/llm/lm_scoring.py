@@ -17,10 +17,12 @@ Counts are exact over the whole corpus and are never gathered in one place:
 3. Held-out pairs of each chunk meet the answers, and a bounded histogram of
    (bucket, pair estimate, token estimate) goes to the driver for EM.
 4. Each chunk's texts meet its answers and are scored.
-Chunks are named by their documents and the scan's splits are held fixed, so a
-task that runs again cuts the same chunks; one cut differently could not be
-answered wrongly: it would fail. ``docs`` is therefore a stored table, not the
-output of a shuffle whose rows come in another order each time.
+Chunks are named by their documents and by their place, the number of the
+scan's split and of the chunk in it, so that copies of the same rows in the same
+order are chunks of their own. The scan's splits are held fixed, so a task that
+runs again cuts the same chunks; one cut differently could not be answered
+wrongly: it would fail. ``docs`` is therefore a stored table, or a union of
+such, not the output of a shuffle whose rows come in another order each time.
 
 Defined results
 * null or empty text is the end alone; a null doc_id counts as the empty id
@@ -32,11 +34,13 @@ Defined results
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,7 +116,8 @@ class Chunk:
 
 def _cut(stream, limit):
     """Batches -> (name, batch) chunks of about ``limit`` bytes."""
-    held, size = [], 0
+    held, size, split = [], 0, TaskContext.get().partitionId()
+    numbers = itertools.count()
 
     def chunk():
         table = pa.Table.from_batches(held).combine_chunks()
@@ -121,6 +126,7 @@ def _cut(stream, limit):
             column = table.column(c).combine_chunks()
             name.update(np.asarray(column.fill_null(-1)).tobytes())
         name.update(text_buffer(table.column(2))[1].tobytes())
+        name.update(np.array([split, next(numbers)], np.int64).tobytes())
         return name.digest(), table
 
     for batch in batches(stream, max(1, limit // 4)):

@@ -54,6 +54,28 @@ def test_scores_equal_a_plain_model(spark):
     assert sum(map(len, got.values())) == len(rows)
 
 
+@pytest.mark.parametrize("chunk_bytes", [60_000, L.CHUNK_BYTES])
+def test_rows_given_twice_in_the_same_order_are_scored_and_counted_each(spark, tmp_path, chunk_bytes):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    # The same rows in other chunks: every row next to its copy.
+    docs.union(docs).orderBy("doc_id").coalesce(1).write.parquet(f"{tmp_path}/twice")
+    beside = L.score_documents(spark.read.parquet(f"{tmp_path}/twice"), chunk_bytes=chunk_bytes)
+    got, want = (sorted(tuple(r) for r in x.collect()) for x in (L.score_documents(docs.union(docs), chunk_bytes=chunk_bytes), beside))
+    assert len(got) == 2 * docs.count() and got[0::2] == got[1::2]
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert np.allclose([r[5:] for r in got], [r[5:] for r in want], rtol=1e-9)
+
+
+def test_equal_chunks_in_one_split(spark):
+    df = spark.createDataFrame([(1, "a b " * 9000)] * 3 + [(9, "a b " * 9000)] * 2, "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        got = L.score_documents(df, chunk_bytes=20_000).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 5 and {r["train_tokens"] for r in got} == {5 * 18_001} and len({r["doc_id"] for r in got}) == 2
+
+
 def test_interpolation_beats_the_base_on_held_out_texts(spark):
     held = L.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").selectExpr("sum(score) / sum(n_tokens) as s", "sum(base_score) / sum(n_tokens) as b").first()
     assert held["s"] > held["b"] + 0.3
