@@ -15,8 +15,9 @@
 4. Inside a family, classes are dealt into bands by set size (a link needs
    sizes within the threshold's ratio, so only equal and neighbouring bands
    meet) and into blocks of bounded size. A pair of blocks is compared in one
-   task: retained values give overlaps, the union sketch estimates similarity,
-   and full sets decide, strongest estimates first. Pairs already joined in the
+   task: retained values give overlaps, which bound the union sketch's estimate
+   of similarity from above (the sketch itself is not formed), and full sets
+   decide, strongest bounds first. Pairs already joined in the
    task are skipped, and only a spanning forest of the links leaves it.
 5. Components of the links name each document's group.
 
@@ -46,7 +47,7 @@ SHINGLE = 5
 SIMILARITY = 80
 K = 64
 RUN = 3
-#: Estimated standard deviations that the union sketch may fall short by.
+#: Estimated standard deviations that the bound may fall short by.
 MARGIN = 6.0
 #: Classes and shingles in a block, and shingles of the small families in one task.
 BLOCK_ROWS = 512
