@@ -2,21 +2,30 @@
 
 A page is read as a stream of standard-library parser events. Events become
 lines (one per block of running text) that know their text, the tags they
-hold and the region they stand in. The text-to-tag ratio of each line is
-smoothed with a Gaussian; a threshold at half the standard deviation marks
-content lines. An <article> or <main> that holds the bulk of the marked text is
-the article, with the articles beside it. On other pages it is the smallest
-region that holds nearly all of the marked text; regions outside it that are
-mostly running text come out too, of others the lines that reach the threshold
-by themselves, and the title and headings that lead to any of these. Lines of
-the article come out whole and in page order, so a short paragraph in it is
-never lost; lines in regions that are not running text by their markup (menus,
-headers of the page, footers, sidebars, forms, adverts, notices, reader
-comments, scripts and styles) never count.
-
-Defined results: null, empty or unparsable html gives an empty text; a page
-without any marked region falls back to all its content lines; rows repeated
-in the table are extracted each; further columns are ignored.
+hold and the region they stand in. Text in regions that the markup itself names
+as something else than the article (menus, headers, footers, sidebars, notices,
+adverts, forms, reader comments) is no running text: such lines are left out. A
+line's ratio is its text by its tags. Ratios are smoothed with a Gaussian over
+the lines of the page, and a threshold at half the standard deviation divides
+the lines into clusters of content and of the rest.
+
+The clusters select the content regions: the smallest region that holds nearly
+all text of content lines, with the lines inside that the clusters leave open
+(a short paragraph between or beside long ones has a low ratio, yet the article
+loses nothing). Outside it come out regions that are mostly content by the ratio
+of their own lines, single lines that reach the threshold themselves, and the
+title and headings that lead to any of these. No tag makes a region win.
+
+What the markup names is taken at its word with two exceptions. A <form> holding
+most of the page's text outside links is a wrapper of the page, and so is an
+element that only its class or id marks, if the page's title or article is in it. An element that is never closed, by its own end
+tag or by the end of an element around it other than <body> and <html>, marks
+nothing.
+
+Defined results: null or empty html gives an empty text, and so does a page
+without text; markup that the parser cannot read ends the page there; <br> is
+white space; rows repeated in the table are extracted each; further columns are
+ignored. Work grows with the length of the page, however deep tags are nested.
 """
 
 from __future__ import annotations
@@ -34,27 +43,27 @@ from . import workspace
 from .kernels import batches
 
 SIGMA = 1.0
-#: Share of the marked text that an <article> or <main> has to hold, and share of
-#: running text in a region that comes out whole beside the article.
+#: Share of a region's text that content lines hold where it comes out whole beside
+#: the article, and of the page's text that makes a form or a marked element a wrapper.
 BULK = 0.5
-#: Share of the marked text that the article's region has to hold on other pages.
+#: Share of the content lines' text that the article's region has to hold.
 NEARLY = 0.9
+# The elements of HTML by kind.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset(("script", "style"))
 _HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _BLOCKS = _HEADINGS | {"p", "pre", "blockquote", "li"}
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_NOISE_TAGS = frozenset("nav footer aside form script style noscript template head title button select option textarea iframe object svg canvas dialog menu audio video input datalist".split())
-_NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-_NOISE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs "
-    "sidebar side rail aside widget widgets footer foot cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription "
-    "signup login comment comments commentlist respond reply replies disqus discussion share sharing social related recommended recommendations pagination pager copyright legal disclaimer toolbar header masthead skip".split()
-)
-_ARTICLE_WORDS = frozenset("article content main post entry story body text".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+# Elements without text of the page, and those that are no article by their name.
+_SILENT = frozenset("script style noscript template head title iframe object audio video canvas svg".split())
+_OTHER = frozenset("nav menu footer aside form button select textarea option datalist dialog".split())
+# Roles and words of class and id that name the same things.
+_ROLES = frozenset("navigation menu menubar banner contentinfo complementary search form alert alertdialog dialog".split())
+_WORDS = frozenset("menu menus nav navbar navigation breadcrumb breadcrumbs header masthead footer sidebar notice notices cookie cookies consent ad ads advert adverts advertisement advertisements sponsored promo comment comments".split())
+_ARTICLE_WORDS = frozenset("article entry post section".split())
 _SPLIT = re.compile(r"[^a-z]+")
 _SPACE = re.compile(r"\s+")
+_SECTION = re.compile(r"<!\[\s*(?:temp|cdata|ignore|include|rcdata|if|else|endif)\b", re.I)
 _CLOSED_BY = {
     "p": frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split()),
     "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "tbody", "tfoot")),
@@ -63,72 +72,86 @@ _CLOSED_BY = {
 _LISTS = frozenset(("ul", "ol", "dl", "table", "menu"))
 
 
-def _noise(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool) -> bool:
-    if tag in _NOISE_TAGS:
-        return True
-    if tag == "header":
-        return not inside_article
+_NONE, _NAMED, _MARKED, _COMMENTS = range(4)
+
+
+def _kind(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool) -> int:
+    """What the markup says of an element: nothing, another thing than the article
+    by its name, the same by its class or id only, or reader comments."""
+    if tag in _SILENT or tag in _OTHER or tag == "header" and not inside_article:
+        return _MARKED if tag == "form" else _NAMED
+    found = _NONE
     for name, value in attrs:
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if not value:
-            continue
-        if name == "role" and value.lower() in _NOISE_ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            words = set(_SPLIT.split(value.lower()))
-            if words & _NOISE_WORDS and not words & _ARTICLE_WORDS or words & {"comment", "comments", "ad", "ads", "sidebar"}:
-                return True
-        if name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-    return False
+        if value and name == "role" and value.lower() in _ROLES:
+            return _NAMED
+        if value and name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+            words = set(_SPLIT.split(value.lower())) & (_WORDS | _ARTICLE_WORDS)
+            if words & {"comment", "comments"}:
+                return _COMMENTS
+            if words & _WORDS and not (words <= _ARTICLE_WORDS | {"header"} and words & _ARTICLE_WORDS):
+                found = _MARKED
+    return found
 
 
 class _Lines(HTMLParser):
-    """Turns parser events into lines: [region, text, tags, noise]."""
+    """Turns parser events into lines (region, text, tags, text outside links)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[int, str, int]] = []
+        self.lines: list[tuple[int, str, int, int]] = []
         self.parents: list[int] = [-1]
-        self.kinds: list[str] = [""]
-        self.stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, region, noise depth
+        self.names: list[str] = [""]
+        self.says: list[int] = [_NONE]
+        self.stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, region, silent
+        self.open: dict[str, int] = {}
         self.text: list[str] = []
-        self.tags = 0
-        self.articles = 0
+        self.tags = self.linked = self.links = 0
 
     def flush(self) -> None:
         if self.text:
             joined = _SPACE.sub(" ", "".join(self.text)).strip()
             if joined:
-                tag, region, noise = self.stack[-1]
-                self.lines.append((region, joined, self.tags))
+                self.lines.append((self.stack[-1][1], joined, self.tags, max(0, len(joined) - self.linked)))
                 self.tags = 0
             self.text.clear()
+        self.linked = 0
 
-    def _leave_head(self, anywhere=False):
+    def parse_html_declaration(self, i):
+        # Only these marked sections are known to the parser; others are comments up to the next ">".
+        if self.rawdata.startswith("<![", i) and not _SECTION.match(self.rawdata, i):
+            end = self.rawdata.find(">", i)
+            return end + 1 if end >= 0 else -1
+        return super().parse_html_declaration(i)
+
+    def _leave_head(self):
         """</head> may be omitted: the body, or content that cannot stand in a head, ends it."""
-        for k in range(len(self.stack) - 1, 0, -1):
+        k = len(self.stack) - 1
+        while self.open.get("head") and k:
             if self.stack[k][0] == "head":
                 self.flush()
                 self._close(k)
-                return
-            if not anywhere:
-                return
+            k -= 1
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
-        if tag not in _HEAD:
-            self._leave_head(anywhere=tag == "body")
+        if tag == "body" or tag not in _HEAD and self.stack[-1][0] == "head":
+            self._leave_head()
         if tag in _INLINE:
-            if tag not in _VOID and any(n in ("class", "id", "role", "hidden", "style", "aria-hidden") for n, _ in attrs) and _noise(tag, attrs, bool(self.articles)):
-                self.flush()
-                self._open(tag, True)
+            if tag == "br":
+                self.handle_data(" ")
+            elif tag == "a":
+                self.links += 1
+            if tag not in _VOID and attrs:
+                says = _kind(tag, attrs, False)
+                if says:
+                    self.flush()
+                    self._open(tag, says)
             return
         self.flush()
+        self.links = 0
         if tag in _VOID:
             return
-        closed = [t for t, by in _CLOSED_BY.items() if tag in by]
+        closed = [t for t, by in _CLOSED_BY.items() if tag in by and self.open.get(t)]
         if closed:
             for k in range(len(self.stack) - 1, 0, -1):
                 top = self.stack[k][0]
@@ -137,40 +160,52 @@ class _Lines(HTMLParser):
                     break
                 if top in _LISTS or top not in _CLOSED_BY and top not in _INLINE:
                     break
-        self._open(tag, _noise(tag, attrs, bool(self.articles)))
+        self._open(tag, _kind(tag, attrs, bool(self.open.get("article") or self.open.get("main"))))
 
-    def _open(self, tag, noisy):
-        _, region, noise = self.stack[-1]
-        self.parents.append(region)
-        self.kinds.append(tag)
-        if tag in ("article", "main"):
-            self.articles += 1
-        self.stack.append((tag, len(self.parents) - 1, noise + noisy))
+    def _open(self, tag, says):
+        self.parents.append(self.stack[-1][1])
+        self.names.append(tag)
+        self.says.append(says)
+        self.open[tag] = self.open.get(tag, 0) + 1
+        self.stack.append((tag, len(self.parents) - 1, self.stack[-1][2] or tag in _SILENT))
 
     def _close(self, k):
         for tag, _, _ in self.stack[k:]:
-            if tag in ("article", "main"):
-                self.articles -= 1
+            self.open[tag] -= 1
         del self.stack[k:]
 
     def handle_endtag(self, tag):
         self.tags += 1
         if tag in _INLINE:
+            if tag == "a":
+                self.links = max(0, self.links - 1)
             if self.stack[-1][0] == tag:
                 self.flush()
                 self._close(len(self.stack) - 1)
             return
         self.flush()
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k][0] == tag:
-                self._close(k)
-                return
+        self.links = 0
+        if tag in ("body", "html"):
+            self._end()
+        if self.open.get(tag):
+            k = len(self.stack) - 1
+            while self.stack[k][0] != tag:
+                k -= 1
+            self._close(k)
+
+    def _end(self):
+        """The body or the page ends: elements open there were never closed."""
+        for tag, region, silent in self.stack:
+            if not silent and tag not in _CLOSED_BY:
+                self.says[region] = _NONE
 
     def handle_data(self, data):
         if self.stack[-1][0] == "head" and data.strip():
             self._leave_head()
         if not self.stack[-1][2]:
             self.text.append(data)
+            if self.links:
+                self.linked += len(data)
 
 
 def _smooth(values: np.ndarray, sigma: float) -> np.ndarray:
@@ -180,70 +215,81 @@ def _smooth(values: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(np.pad(values, reach, mode="edge"), kernel, mode="valid")
 
 
+def _sums(parents: list[int], at, values) -> list[float]:
+    """Sums of lines' values over every region with all that it holds, in one pass:
+    a region's number is larger than that of the one around it."""
+    out = [0.0] * len(parents)
+    for r, v in zip(at, values):
+        out[r] += v
+    for r in range(len(parents) - 1, 0, -1):
+        out[parents[r]] += out[r]
+    return out
+
+
+def _inside(parents: list[int], chosen) -> list[bool]:
+    """For every region, whether it or one around it is chosen."""
+    out = [bool(x) for x in chosen]
+    for r in range(1, len(parents)):
+        out[r] = out[r] or out[parents[r]]
+    return out
+
+
+def _running(parser: _Lines) -> list[tuple[int, str, int, int]]:
+    """The lines that the markup does not name as something else than the article."""
+    parents, says = parser.parents, parser.says
+    sure = _inside(parents, [x in (_NAMED, _COMMENTS) for x in says])
+    free = [0 if sure[x[0]] else x[3] for x in parser.lines]
+    weight = _sums(parents, [x[0] for x in parser.lines], free)
+    holds = _sums(parents, range(len(parents)), [x in ("h1", "article", "main", "form") for x in parser.names])
+    wraps = [weight[r] >= BULK * max(1.0, weight[0]) and holds[r] > 0 for r in range(len(parents))]
+    gone = _inside(parents, [x in (_NAMED, _COMMENTS) or x == _MARKED and not wraps[r] for r, x in enumerate(says)])
+    return [x for x in parser.lines if not gone[x[0]]]
+
+
 def content_blocks(html: str | None, *, sigma: float = SIGMA, bulk: float = BULK) -> list[str]:
     """The blocks of a page's main text, in page order."""
     if not html:
         return []
     parser = _Lines()
-    parser.feed(html)
-    parser.close()
+    try:
+        parser.feed(html)
+        parser.close()
+    except AssertionError:  # the parser's own word for markup that it cannot read
+        pass
     parser.flush()
-    lines = parser.lines
+    parser._end()
+    lines, parents, names = _running(parser), parser.parents, parser.names
     if not lines:
         return []
+    at = [x[0] for x in lines]
     size = np.array([len(x[1]) for x in lines], float)
-    ratio = _smooth(size / np.maximum(1.0, np.array([x[2] for x in lines], float)), sigma)
-    marked = ratio >= min(ratio.max(), 0.5 * ratio.std())
-    weight: dict[int, float] = {}
-    total = 0.0
-    for (region, _, _), n, good in zip(lines, size, marked):
-        if good:
-            total += n
-            while region >= 0:
-                weight[region] = weight.get(region, 0.0) + n
-                region = parser.parents[region]
-    # An article of the page's own making goes first, with those beside it.
-    named = [r for r in weight if parser.kinds[r] in ("article", "main") and weight[r] >= bulk * total]
-    if named:
-        best = min(named, key=lambda r: (weight[r], -r))
-        roots = {best} | {r for r in weight if parser.kinds[r] == parser.kinds[best] and parser.parents[r] == parser.parents[best]}
-        return [text for (region, text, _) in lines if _within(parser.parents, region, roots) >= 0]
-    best = max((r for r in weight if weight[r] >= NEARLY * total and parser.kinds[r] not in _BLOCKS), default=0)
-    roots = {best}
+    ratio = size / np.maximum(1.0, np.array([x[2] for x in lines], float))
+    smooth = _smooth(ratio, sigma)
+    least = 0.5 * smooth.std()
+    marked = smooth >= min(smooth.max(), least)
+    weight = _sums(parents, at, size * marked)
+    best = max(r for r in range(len(parents)) if weight[r] >= NEARLY * weight[0] and names[r] not in _BLOCKS)
     # Text outside counts by its own ratio, not by that of the lines around it.
-    own = marked & (size / np.maximum(1.0, np.array([x[2] for x in lines], float)) >= 0.5 * ratio.std())
-    outside = [k for k, x in enumerate(lines) if _within(parser.parents, x[0], roots) < 0]
-    all_of, own_of = {}, {}
-    for k in outside:
-        region = lines[k][0]
-        while region >= 0:
-            all_of[region] = all_of.get(region, 0.0) + size[k]
-            own_of[region] = own_of.get(region, 0.0) + size[k] * own[k]
-            region = parser.parents[region]
-    above, r = set(), best
+    own = marked & (ratio >= least)
+    around = {-1}
+    r = best
     while r >= 0:
-        above.add(r)
-        r = parser.parents[r]
-    roots |= {r for r in all_of if r not in above and own_of[r] > bulk * all_of[r]}
-    taken = np.array([_within(parser.parents, x[0], roots) >= 0 for x in lines]) | own
+        around.add(r)
+        r = parents[r]
+    all_of, own_of = _sums(parents, at, size), _sums(parents, at, size * own)
+    inside = _inside(parents, [r == best or r not in around and own_of[r] > bulk * all_of[r] for r in range(len(parents))])
+    taken = np.array([inside[r] for r in at]) | own
     # Headings of what comes out; the page's title with the text between.
-    heads = [parser.kinds[x[0]] in _HEADINGS for x in lines]
+    heads = [names[r] in _HEADINGS for r in at]
     for k in range(len(lines) - 2, -1, -1):
         taken[k] |= heads[k] and taken[k + 1]
     first = int(np.argmax(taken))
-    title = max((k for k in range(first) if parser.kinds[lines[k][0]] == "h1"), default=first)
+    title = max((k for k in range(first) if names[at[k]] == "h1"), default=first)
     for k in range(title, first):
-        taken[k] |= parser.kinds[lines[k][0]] in _BLOCKS - {"li"}
+        taken[k] |= names[at[k]] in _BLOCKS - {"li"}
     return [x[1] for x, good in zip(lines, taken) if good]
 
 
-def _within(parents: list[int], region: int, roots: set[int]) -> int:
-    """The innermost of ``roots`` around a region, or -1."""
-    while region >= 0 and region not in roots:
-        region = parents[region]
-    return region
-
-
 def _run(stream):
     for batch in batches(stream):
         texts = ["\n".join(content_blocks(h)) for h in batch.column(2).to_pylist()]

@@ -1,3 +1,12 @@
+import html
+import math
+import random
+import re
+import statistics
+import time
+
+import pytest
+
 from tessera.llm import html_extract as H
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -67,11 +76,122 @@ def test_rows(spark):
     assert H.extract_html(df.limit(0)).collect() == []
 
 
-def test_every_test_page_gives_its_article(spark):
-    import html
-    import re
+def _article(page):
+    """The article's blocks of a page of the test tables, which hold one <article> each."""
+    inner = re.search(r"<article>(.*)</article>", page, re.S)[1].replace("<br>", " ")
+    blocks = re.split(r"<(?!/?(?:b|i|a|em|strong|span)\b)[^>]*>", inner)
+    plain = [re.sub(r"\s+", " ", html.unescape(re.sub(r"</?(b|i|a|em|strong|span)\b[^>]*>", "", x))).strip() for x in blocks]
+    return [x for x in plain if x]
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "section", "div"])
+def test_every_test_page_gives_its_article_whatever_its_tag(spark, tag):
+    for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect():
+        page = r["html"].replace("<article>", f"<{tag}>").replace("</article>", f"</{tag.split()[0]}>")
+        assert H.content_blocks(page) == _article(r["html"])
+
+
+def test_marked_sections_that_the_parser_does_not_know():
+    assert H.content_blocks("<![foo bar]>x") == ["x"] and H.content_blocks("<p>a<![x]>b</p>") == ["ab"]
+    assert H.content_blocks("<p>a</p><![CDATA[x]]><p>b</p><![if IE]><p>c</p><![endif]><![ never closed") == ["a", "b", "c", "<![ never closed"]
+
 
-    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
-        inner = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
-        plain = [re.sub(r"\s+", " ", html.unescape(re.sub(r"</?(b|i|a|em|strong|span)\b[^>]*>", "", x))).strip() for x in re.split(r"<(?!/?(?:b|i|a|em|strong|span)\b)[^>]*>", inner)]
-        assert " ".join(H.content_blocks(r["html"])).split() == " ".join(plain).split()
+def test_a_form_around_the_page_is_no_boilerplate():
+    text = "A long paragraph of plain running text that goes on for a while."
+    for inner in (f"<article><h1>T</h1><p>{text}</p></article>", f"<div><h1>T</h1><p>{text}</p></div>"):
+        page = f"<body><form id=aspnetForm><nav><a href=x>Menu of links</a></nav>{inner}<form><p>Mail <input></p></form><footer>f</footer></form></body>"
+        assert H.content_blocks(page)[:2] == ["T", text]
+    page = f"<body><div><h1>T</h1><p>{text}</p></div><form><p>Your mail please, and your name</p><button>Send</button></form></body>"
+    assert H.content_blocks(page) == ["T", text]
+
+
+def test_a_marked_element_around_title_and_bulk_is_no_boilerplate():
+    text = "A long paragraph of plain running text that goes on for a while."
+    page = f"<body><div class=header><h1>Site</h1></div><div class='main has-sidebar'><h1>T</h1><p>{text}</p><div class=sidebar><p>Other things to read here</p></div></div></body>"
+    assert H.content_blocks(page) == ["T", text]
+
+
+def test_an_element_that_is_never_closed_marks_nothing():
+    text = "A long paragraph of plain running text that goes on for a while."
+    for end in ("", "</body></html>"):
+        assert text in H.content_blocks(f"<html><body><p>{text}</p><aside><p>Related</p><div><p>{text}</p></div>{end}")[-1]
+    # The end of an element around it closes it too.
+    assert H.content_blocks(f"<body><div><aside><p>Related</p></div><p>{text}</p></body>") == [text]
+
+
+def test_deep_and_unmatched_tags_take_time_in_proportion():
+    for page in ("<div>" * 8000 + "deep text" + "</div></section>" * 8000, "<div><p>text" * 8000, "<div>text" * 8000, "<ul><li>text" * 8000):
+        began = time.process_time()
+        assert H.content_blocks(page)
+        assert time.process_time() - began < 3
+
+
+def _brute(page):
+    """The same choice by its definition: every sum over lines and their ancestors anew."""
+    parser = H._Lines()
+    parser.feed(page)
+    parser.close()
+    parser.flush()
+    parser._end()
+    parents, names, says = parser.parents, parser.names, parser.says
+
+    def chain(r):
+        return [r, *chain(parents[r])] if r > 0 else [0] if r == 0 else []
+
+    held = lambda r, lines: [x for x in lines if r in chain(x[0])]
+    sure = [x for x in parser.lines if not any(says[r] in (H._NAMED, H._COMMENTS) for r in chain(x[0]))]
+    total = max(1, sum(x[3] for x in sure))
+
+    def gone(r):
+        marks = any(r in chain(k) and names[k] in ("h1", "article", "main", "form") for k in range(len(names)))
+        return says[r] in (H._NAMED, H._COMMENTS) or says[r] == H._MARKED and not (marks and sum(x[3] for x in held(r, sure)) >= total / 2)
+
+    lines = [x for x in parser.lines if not any(gone(r) for r in chain(x[0]))]
+    if not lines:
+        return []
+    ratio = [len(x[1]) / max(1, x[2]) for x in lines]
+    bell = [math.exp(-j * j / 2) for j in range(-3, 4)]
+    smooth = [sum(b * ratio[min(max(k + j, 0), len(ratio) - 1)] for j, b in zip(range(-3, 4), bell)) / sum(bell) for k in range(len(ratio))]
+    least = statistics.pstdev(smooth) / 2
+    marked = [x >= min(max(smooth), least) for x in smooth]
+    size = lambda rows: sum(len(x[1]) for x in rows)
+    good = [x for x, m in zip(lines, marked) if m]
+    best = max(r for r in range(len(parents)) if names[r] not in H._BLOCKS and size(held(r, good)) >= 0.9 * size(good))
+    own = [m and q >= least for m, q in zip(marked, ratio)]
+    strong = [x for x, o in zip(lines, own) if o]
+
+    def comes(r):
+        return r == best or r not in chain(best) and size(held(r, strong)) > size(held(r, lines)) / 2
+
+    taken = [o or any(comes(r) for r in chain(x[0])) for x, o in zip(lines, own)]
+    for k in reversed(range(len(lines) - 1)):
+        taken[k] = taken[k] or names[lines[k][0]] in H._HEADINGS and taken[k + 1]
+    first = taken.index(True)
+    titles = [k for k in range(first) if names[lines[k][0]] == "h1"]
+    for k in range(titles[-1] if titles else first, first):
+        taken[k] = taken[k] or names[lines[k][0]] in H._BLOCKS - {"li"}
+    return [x[1] for x, t in zip(lines, taken) if t]
+
+
+def test_equals_brute_force_on_random_pages():
+    r = random.Random(10)
+    tags = ["div", "p", "ul", "li", "nav", "aside", "article", "section", "h1", "h2", "form", "a", "b", "span", "table", "tr", "td", "header", "footer", "div class=ad", 'div id="comments"', "div class=side-menu"]
+    for _ in range(400):
+        parts, stack = [], []
+        for _ in range(r.randrange(1, 60)):
+            x = r.random()
+            if x < 0.4:
+                stack.append(r.choice(tags))
+                parts.append(f"<{stack[-1]}>")
+            elif x < 0.65 and stack:
+                parts.append(f"</{stack.pop(r.randrange(len(stack))).split()[0]}>")
+            else:
+                parts.append(" ".join(r.choice(("word", "of", "<br>", "text &amp; more", "running")) for _ in range(r.choice((1, 3, 30)))))
+        page = "".join(parts)
+        assert H.content_blocks(page) == _brute(page), page
+
+
+def test_a_page_larger_than_an_arrow_batch(spark):
+    blocks = [f"Paragraph {k} of plain running text." for k in range(150_000)]
+    df = spark.createDataFrame([(1, "u", "<body><nav><a href=x>menu</a></nav><div>" + "".join(f"<p>{x}" for x in blocks) + "</div></body>")], "page_id long, url string, html string")
+    assert H.extract_html(df).first()["text"] == "\n".join(blocks)
