@@ -143,10 +143,14 @@ _ASK = pa.schema([("shard", pa.int32()), ("chunk", pa.binary()), ("part", pa.int
 _ASK_SQL = "shard int, chunk binary, part int, a binary, b binary, c binary, d binary, e binary, f binary"
 
 
-def _slices(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's part of sorted keys begins; len shards + 1."""
-    bounds = np.array([(k << 64) // shards for k in range(shards)], np.uint64)
-    return np.r_[np.searchsorted(keys, bounds), len(keys)]
+def _shards_of(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shards that sorted keys fall into, and where each one's keys begin, with
+    the end. Keys are dealt evenly (high half of key * shards), in their own order."""
+    n = np.uint64(shards)
+    low = ((keys & np.uint64(0xFFFFFFFF)) * n) >> np.uint64(32)
+    at = ((keys >> np.uint64(32)) * n + low) >> np.uint64(32)
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+    return at[first].astype(np.int64), np.r_[first, len(keys)]
 
 
 def _ask(shards: int, limit: int):
@@ -156,12 +160,14 @@ def _ask(shards: int, limit: int):
             chunk = Chunk(table.column(2), np.asarray(table.column(1)))
             del table
             tt, td, pt, pd = chunk.counts()
-            ts, ps = _slices(chunk.tokens, shards), _slices(chunk.pairs, shards)
+            (t_of, t_at), (p_of, p_at) = _shards_of(chunk.tokens, shards), _shards_of(chunk.pairs, shards)
+            # Only shards that the chunk has keys for: work is bounded by its keys.
+            asked = np.union1d(t_of, p_of)
+            t_lo, t_hi = t_at[np.searchsorted(t_of, asked)], t_at[np.searchsorted(t_of, asked, side="right")]
+            p_lo, p_hi = p_at[np.searchsorted(p_of, asked)], p_at[np.searchsorted(p_of, asked, side="right")]
             rows = []
-            for s in range(shards):
-                t, p = slice(ts[s], ts[s + 1]), slice(ps[s], ps[s + 1])
-                if t.start < t.stop or p.start < p.stop:
-                    rows.append((s, name, s, chunk.tokens[t].tobytes(), pack(tt[t]), pack(td[t]), chunk.pairs[p].tobytes(), pack(pt[p]), pack(pd[p])))
+            for s, t, p in zip(asked.tolist(), map(slice, t_lo, t_hi), map(slice, p_lo, p_hi)):
+                rows.append((s, name, s, chunk.tokens[t].tobytes(), pack(tt[t]), pack(td[t]), chunk.pairs[p].tobytes(), pack(pt[p]), pack(pd[p])))
             held = np.flatnonzero(pd)
             if len(held):
                 # Travels with the questions to be stored beside the answers.

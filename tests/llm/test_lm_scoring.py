@@ -88,6 +88,20 @@ def test_empty_and_untrained(spark):
     assert row["held_out"] and (row["n_tokens"], row["n_known"], row["train_tokens"]) == (3, 0, 0) and row["base_score"] == 0.0
 
 
+@pytest.mark.parametrize("shards", [1, 4, 1000, 3_000_000_000])
+def test_keys_go_to_few_shards_in_order(shards):
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 64, 500, dtype=np.uint64))
+    of, at = L._shards_of(keys, shards)
+    assert np.repeat(of, np.diff(at)).tolist() == [int(k) * shards >> 64 for k in keys] and (np.diff(of) > 0).all()
+    assert [x.tolist() for x in L._shards_of(keys[:0], shards)] == [[], [0]]
+
+
+def test_many_more_shards_than_keys(spark):
+    docs = spark.createDataFrame([(k, "a b c %d" % k) for k in range(40)] + [(41, None)], "doc_id long, text string").repartition(3)
+    few, many = (sorted(tuple(r) for r in L.score_documents(docs, chunk_bytes=200, shard_bytes=n).collect()) for n in (1 << 20, 1))
+    assert [r[:5] for r in few] == [r[:5] for r in many] and np.allclose([r[5:] for r in few], [r[5:] for r in many])
+
+
 def test_counts_round_trip():
     c = np.array([0, 1, 254, 255, 256, 10**12])
     assert L.unpack(L.pack(c)).tolist() == c.tolist() and L.unpack(L.pack(c[:0])).tolist() == []
