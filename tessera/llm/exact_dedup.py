@@ -4,9 +4,9 @@ Every row's normalised text (A-Z lower-cased, null as empty) is digested. A
 Structured Streaming aggregation keyed by digest keeps, in RocksDB state
 without expiry, the stable identifier of the copy that stays (largest doc_id),
 the locator of its content (its file) and the number of copies. Rows whose
-digest was seen more than once are hits: their full bytes are compared, and a
-digest that covers several texts is split by text, so a collision never merges
-two documents.
+digest was seen more than once are hits: the full bytes at their locators are
+compared, those of earlier calls on a lasting state too, and a digest that covers
+several texts is split by text, so a collision never merges two documents.
 
 Defined results
 * null text equals the empty text; null doc_id sorts below every other and is
@@ -18,6 +18,7 @@ Defined results
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -94,13 +95,22 @@ def run_stream(spark: SparkSession, log: str, schema, folder: str) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, *, digest: Callable[[Column], Column] = _sha256, folder: str | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, locator for every row of ``docs``
-    (doc_id, text); ``locator`` is the file that holds the copy that stays."""
+    (doc_id, text); ``locator`` is the file that holds the copy that stays. With
+    ``folder`` (shared by all executors) the state outlives the call: later calls
+    with it add their ``docs``, and the result has the rows of all calls."""
     spark = docs.sparkSession
-    folder = folder or workspace.scratch(spark, "exact-dedup")
+    call = f"c{uuid.uuid4().hex}"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("norm"))
-    log = f"{folder}/log"
+    if folder is None:
+        folder, texts = workspace.scratch(spark, "exact-dedup"), rows
+    else:
+        # Texts of a lasting state are kept beside it: locators must lead to their bytes in later calls too.
+        rows.write.parquet(f"{folder}/content/call={call}")
+        rows = spark.read.schema(rows.schema).parquet(f"{folder}/content/call={call}")
+        texts = spark.read.schema(rows.schema).parquet(f"{folder}/content").select("doc_id", "norm")
+    log, lasting = f"{folder}/log", texts is not rows
     marked = rows.select(
-        "doc_id", digest(F.col("norm")).alias("digest"), _sha256(F.col("norm")).alias("text_sha256"), F.input_file_name().alias("locator")
+        "doc_id", digest(F.col("norm")).alias("digest"), _sha256(F.col("norm")).alias("text_sha256"), F.input_file_name().alias("locator"), F.lit(call).alias("call")
     )
     if digest is _sha256:
         marked = marked.drop("text_sha256")
@@ -110,27 +120,36 @@ def exact_dedup(docs: DataFrame, *, digest: Callable[[Column], Column] = _sha256
     marks = spark.read.schema(schema).parquet(log)
     if digest is _sha256:
         marks = marks.withColumn("text_sha256", F.col("digest"))
-    marks = marks.drop("locator")
 
     hits = groups.where("group_size > 1").select("digest")
+    if lasting:
+        hits = hits.join(marks.where(F.col("call") == call).select("digest"), "digest", "left_semi")
+    known = marks
+    marks = marks.drop("locator", "call")
     n_hits = hits.count()
-    result = _result(marks.join(groups, "digest", "left"))
-    if not n_hits:
-        return result
+    texts = texts.select("doc_id", "norm", digest(F.col("norm")).alias("digest"), *([F.input_file_name().alias("locator")] if lasting else []))
     side = F.broadcast(hits) if n_hits <= BROADCAST_DIGESTS else hits
-    texts = rows.select("doc_id", "norm", digest(F.col("norm")).alias("digest")).join(side, "digest", "left_semi")
+    if lasting:
+        hit = texts.join(known.join(side, "digest", "left_semi").select("digest", "locator").distinct(), ["digest", "locator"], "left_semi")
+    else:
+        hit = texts.join(side, "digest", "left_semi")
     # Each part sends two texts at most, however many copies it has.
-    parts = texts.groupBy("digest", F.pmod(F.xxhash64("doc_id"), F.lit(CHECK_PARTS)).alias("part")).agg(
+    parts = hit.groupBy("digest", F.pmod(F.xxhash64("doc_id"), F.lit(CHECK_PARTS)).alias("part")).agg(
         F.min("norm").alias("low"), F.max("norm").alias("high")
     )
     mixed = parts.groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("digest")
-    mixed = workspace.materialise(mixed, "exact-collisions")
-    if mixed.isEmpty():
-        return result
+    if lasting:
+        mixed.write.mode("append").parquet(f"{folder}/collisions")
+        mixed = spark.read.schema(mixed.schema).parquet(f"{folder}/collisions").distinct()
+    elif n_hits:
+        mixed = workspace.materialise(mixed, "exact-collisions")
+    joined = marks.join(groups, "digest", "left")
+    if not lasting and not n_hits or mixed.isEmpty():
+        return _result(joined)
     again = texts.join(mixed, "digest", "left_semi")
     split = again.groupBy("digest", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.lit("").alias("locator"))
-    apart = _result(again.withColumn("text_sha256", _sha256(F.col("norm"))).join(split, ["digest", "norm"]))
-    return _result(marks.join(groups, "digest", "left").join(mixed, "digest", "left_anti")).unionByName(apart)
+    apart = _result(again.drop("locator").withColumn("text_sha256", _sha256(F.col("norm"))).join(split, ["digest", "norm"]))
+    return _result(joined.join(mixed, "digest", "left_anti")).unionByName(apart)
 
 
 def _result(joined: DataFrame) -> DataFrame:
@@ -148,11 +167,12 @@ def keep_first_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns; rows repeated with the same
     doc_id and text come once."""
     marks = workspace.materialise(exact_dedup(docs).select("doc_id", "text_sha256", "kept"), "exact-marks")
-    gone = marks.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha"))
+    name, digest = workspace.own_names(docs, "gone", "sha")
+    gone = marks.where("not kept").select(F.col("doc_id").alias(name), F.col("text_sha256").alias(digest))
     if gone.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS:
         gone = F.broadcast(gone)
     sha = _sha256(normalised(F.col("text")))
-    left = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")) & (sha == F.col("_sha")), "left_anti")
+    left = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col(name)) & (sha == F.col(digest)), "left_anti")
     if marks.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").isEmpty():
         return left
-    return left.withColumn("_sha", sha).dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    return left.withColumn(digest, sha).dropDuplicates(["doc_id", digest]).drop(digest)

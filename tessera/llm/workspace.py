@@ -55,6 +55,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt_apart(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` dealt by columns other than those it is joined on next. A grouped
+    frame keeps its groups' partitioning, and a join with it then needs all rows
+    of a key in that key's one task; dealt anew, both sides of the join are
+    shuffles of its own, whose large partitions adaptive execution splits."""
+    return df.repartition(*columns)
+
+
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have, one for each of ``names``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def steady_splits(spark: SparkSession) -> None:
     """Have scans of one table cut alike all through a job: their number of
     splits otherwise follows the cores that are there just then, and changes
