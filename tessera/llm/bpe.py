@@ -289,7 +289,9 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def encode_checked(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids, decoded_sha256 for every row of ``docs``, in its order."""
+    """doc_id, position, n_tokens, ids, decoded_sha256 for every row of ``docs``.
+    ``position`` rises in the order in which ``docs`` was stored (null if it was not)."""
+    workspace.ship(docs.sparkSession)
     shared = _Shared(docs.sparkSession.sparkContext, load(path))
 
     def run(stream):
@@ -302,9 +304,10 @@ def encode_checked(docs: DataFrame, path: str) -> DataFrame:
                 decoded.append(hashlib.sha256(encoder.decode_joined(joined)).hexdigest())
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends), pa.int64()), lists, pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(ends), pa.int64()), lists, pa.array(decoded, pa.string())], names=["doc_id", "position", "n_tokens", "ids", "decoded_sha256"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), workspace.file_order(docs).alias("position"))
+    return rows.mapInArrow(run, "doc_id long, position long, n_tokens long, ids array<int>, decoded_sha256 string")
 
 
 def encoding_digests(docs: DataFrame, path: str) -> DataFrame:

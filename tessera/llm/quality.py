@@ -3,8 +3,8 @@
 Every text becomes a short vector of statistics. Random cosine features
 approximate a Gaussian kernel over the standardised vectors; partitions sum
 their parts of the normal equations, the sums give a ridge solution, and an
-isotonic step function, fitted on labelled rows apart from those, turns its
-output into a probability.
+isotonic regression, fitted on labelled rows apart from those and linear between
+its steps' centres, turns its output into a probability.
 
 The fit uses at most about MAX_FIT labelled rows (chosen by a hash of doc_id);
 scoring covers all rows and whole texts.
@@ -199,9 +199,7 @@ def fit(train: DataFrame, *, features: int = FEATURES, gamma: float = GAMMA, rid
     found = _added(apart, histogram, 2 * BINS)
     if not found[:BINS].sum():
         found = _added(main, histogram, 2 * BINS)
-    # One virtual row at the base rate keeps the ends off 0 and 1.
-    w, t = found[:BINS], found[BINS:]
-    model.xs, model.ys = isotonic(grid, w, t)
+    model.xs, model.ys = isotonic(grid, found[:BINS], found[BINS:])
     return model
 
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
+import public_tokenizers
 
 from . import bpe, exact_dedup, html_extract, lm_scoring, mixing, near_dedup, quality, substring_dedup, topk, toxicity
 
-#: Folder of the public tokenizer files.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-BYTE_BPE = "byte_bpe_50k.json"
+#: The tokenizer file of op4 and the pipeline; operators take any path.
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _documents(spark, sf_dir):
@@ -32,7 +31,7 @@ def op3_score_toxicity(spark, sf_dir):
 
 
 def op4_encode_bpe(spark, sf_dir):
-    return bpe.encoding_digests(_documents(spark, sf_dir), f"{TOKENIZERS}/{BYTE_BPE}")
+    return bpe.encoding_digests(_documents(spark, sf_dir), BYTE_BPE)
 
 
 def op5_near_duplicates(spark, sf_dir):

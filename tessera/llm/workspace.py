@@ -8,7 +8,9 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 #: Arrow batches hold whole texts of any length, so rows alone do not bound them.
@@ -63,6 +65,22 @@ def dealt_apart(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(*columns)
 
 
+def file_order(df: DataFrame) -> Column:
+    """The place of a row in a stored table, as a number that rises in the order in
+    which it was written: the number of the partition and of its file, and the row
+    in it. Reading a table back keeps no order by itself. Null for rows that do not
+    come from files that Spark has written."""
+    try:
+        meta = df.metadataColumn("_metadata")
+        name = meta["file_name"]
+        df.select(name)
+    except AnalysisException:  # not a stored table
+        return F.lit(None).cast("long")
+    number = lambda pattern: F.regexp_extract(name, pattern, 1).cast("long")
+    part, file = number(r"^part-(\d+)-"), F.coalesce(number(r"-c(\d+)[^/]*$"), F.lit(0))
+    return F.shiftleft(part, 39) + F.shiftleft(file, 32) + meta["row_index"]
+
+
 def own_names(df: DataFrame, *names: str) -> list[str]:
     """Column names that ``df`` does not have, one for each of ``names``."""
     taken = {c.lower() for c in df.columns}

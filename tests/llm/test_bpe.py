@@ -6,7 +6,7 @@ from tokenizers import Tokenizer
 
 from tessera.llm import bpe, queries
 
-PATH = f"{queries.TOKENIZERS}/{queries.BYTE_BPE}"
+PATH = queries.BYTE_BPE
 
 
 @pytest.fixture(scope="module")
