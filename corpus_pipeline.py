@@ -3,6 +3,13 @@
 Every stage takes (spark, docs, sf_dir), works on all rows that the stage
 before it kept and returns a DataFrame; ``run`` writes each as Parquet in the
 shared folder and reads it back as the next one's input.
+
+Defined results, for every stage: all but the last return the columns of their
+input, whatever further columns it has and however those are named; an empty
+table gives an empty one. Rows repeated with one doc_id and text come once after
+exact dedup, rows of one doc_id once after near dedup. A null text is judged,
+compared and encoded like the empty one; mixing leaves texts without words out,
+as they hold nothing to train on. A null doc_id stays unless its text goes.
 """
 
 from __future__ import annotations
@@ -28,13 +35,15 @@ def dissimilar_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in training order, once per copy that their source's target takes."""
+    """Documents in training order, once per copy that their source's target takes.
+    The order is that of the stored rows: partition by partition, row by row."""
     return mixing.mixed_documents(docs)
 
 
 def encoded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the digest of what they decode to."""
-    return bpe.encode_checked(docs, f"{queries.TOKENIZERS}/{queries.BYTE_BPE}")
+    """Token ids of every document, with the digest of what they decode to.
+    ``position`` rises in training order, in which mixing stored the documents."""
+    return bpe.encode_checked(docs, queries.BYTE_BPE)
 
 
 STAGES = [
