@@ -229,6 +229,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, b
     # A row with the text of a smaller doc_id goes as a whole: its windows all start there earlier.
     marks = workspace.materialise(rows.select("doc", "tag", F.md5(F.col("text").cast("binary")).alias("digest")), "repeats-marks")
     groups = marks.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    groups = workspace.dealt_apart(groups.select("digest", "first"), "first")
     copies = workspace.materialise(marks.join(groups, "digest").where("doc > first").select("doc", "tag").distinct(), "repeats-copies")
 
     found = rows.select("doc", "tag", "text").mapInArrow(_anchors(window, min(gram, window), buffer), "anchor long, salt int, times int, doc long, tag long, start int, many int")

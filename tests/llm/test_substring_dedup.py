@@ -35,6 +35,18 @@ def test_equals_brute_force(spark):
     assert answer(S.remove_repeats(df, window=5, gram=8)) == brute(rows, 5)
 
 
+def test_nothing_is_broadcast_beyond_the_limit(spark, monkeypatch):
+    monkeypatch.setattr(S, "BROADCAST_ROWS", 0)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert answer(S.remove_repeats(docs)) == brute([(r["doc_id"], r["text"]) for r in docs.collect()], 20)
+
+
+def test_texts_larger_than_a_batch(spark):
+    long = " ".join(f"w{k}" for k in range(1_500_000))  # 11 MB
+    rows = [(1, long), (2, "x " + long[: len(long) // 2]), (3, "short")]
+    assert answer(S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows, 20)
+
+
 def test_rows_repeated_with_one_id(spark):
     long = " ".join(f"w{k}" for k in range(40))
     rows = [(1, long, 0), (1, long, 1), (2, long, 2)]
