@@ -14,8 +14,10 @@ def connected_components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
 
     Each round links every node's larger neighbours to the smallest node around
     it (large star) and then its smaller neighbours likewise (small star). Both
-    steps are partial aggregations and equi-joins, so a hub of any degree is
-    never gathered in one place. Rounds end when the edges are stars. Null and
+    steps are partial aggregations and equi-joins. Minima are dealt anew before
+    they are joined, so that both sides of a join are plain shuffles and adaptive
+    execution can split a hub's edges over several tasks. Rounds end when the edges
+    are stars. Null and
     equal ends are ignored; an empty table gives an empty result.
     """
     spark = edges.sparkSession
@@ -26,9 +28,9 @@ def connected_components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
         if not state[0]:
             break
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = workspace.dealt_apart(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "m", "u")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = workspace.dealt_apart(large.groupBy("u").agg(F.min("v").alias("m")), "m", "u")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = workspace.materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc-edges")
         new = _state(now)

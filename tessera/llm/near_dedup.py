@@ -15,10 +15,11 @@
 4. Inside a family, classes are dealt into bands by set size (a link needs
    sizes within the threshold's ratio, so only equal and neighbouring bands
    meet) and into blocks of bounded size. A pair of blocks is compared in one
-   task: retained values give overlaps, which bound the union sketch's estimate
-   of similarity from above (the sketch itself is not formed), and full sets
-   decide, strongest bounds first. Pairs already joined in the
-   task are skipped, and only a spanning forest of the links leaves it.
+   task: inverted lists of retained values give overlaps, the sketch of the
+   union (the k smallest values of both) estimates similarity and drops pairs
+   that fall short by more than MARGIN standard deviations, and full sets
+   decide, strongest estimates first. Pairs already joined in the task are
+   skipped, and only a spanning forest of the links leaves it.
 5. Components of the links name each document's group.
 
 Defined results
@@ -47,7 +48,7 @@ SHINGLE = 5
 SIMILARITY = 80
 K = 64
 RUN = 3
-#: Estimated standard deviations that the bound may fall short by.
+#: Standard deviations that the union sketch's estimate may fall short by.
 MARGIN = 6.0
 #: Classes and shingles in a block, and shingles of the small families in one task.
 BLOCK_ROWS = 512
@@ -124,6 +125,23 @@ class _Forest:
         return x
 
 
+def union_estimates(sketches: list[np.ndarray], a: int, others: np.ndarray, at: np.ndarray, theirs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows that share retained values with row ``a``, their estimated similarity
+    and the size of the sketch behind it. ``others``, ``at`` and ``theirs`` tell
+    each shared value: the row, and its place in both sketches, in rising order.
+
+    The k smallest values of two sketches together are the union's own sketch. A
+    value's place in it is the sum of its places less the shared values before it."""
+    order = np.argsort(others, kind="stable")
+    row, at, theirs = others[order], at[order], theirs[order]
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    found, shared = row[first], np.diff(np.r_[first, len(row)])
+    before = np.arange(len(row)) - np.repeat(first, shared)
+    hits = np.add.reduceat((at + theirs - before < k).astype(np.int64), first)
+    depth = np.minimum(k, len(sketches[a]) + np.array([len(sketches[x]) for x in found]) - shared)
+    return found, hits / depth, depth
+
+
 def compare(ids: list[int], sets: list[np.ndarray], sides: np.ndarray | None, percent: int, k: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among ``sets``; with ``sides`` given, of
     the links between rows of different sides and within neither."""
@@ -134,34 +152,33 @@ def compare(ids: list[int], sets: list[np.ndarray], sides: np.ndarray | None, pe
     sketches = [s[:k] for s in sets]
     values = np.concatenate(sketches)
     owner = np.repeat(np.arange(n), [len(s) for s in sketches])
+    spot = np.concatenate([np.arange(len(s)) for s in sketches])
     order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
+    values, owner, spot = values[order], owner[order], spot[order]
     cut = np.flatnonzero(np.r_[True, values[1:] != values[:-1], True])
-    # Inverted lists: for every row, the rows that retain its values.
+    # Inverted lists: for every row, the rows that retain its values, values rising.
     place = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
     mine = np.argsort(owner, kind="stable")
     ends = np.searchsorted(owner[mine], np.arange(n + 1))
     forest, links, pairs = _Forest(n), [], []
+    t = percent / 100
     for a in range(n):
         lists = place[mine[ends[a] : ends[a + 1]]]
-        lists = lists[cut[lists + 1] - cut[lists] > 1]
-        if not len(lists):
+        long = np.flatnonzero(cut[lists + 1] - cut[lists] > 1)
+        if not len(long):
             continue
-        others = np.concatenate([owner[cut[x] : cut[x + 1]] for x in lists])
-        shared = np.bincount(others, minlength=n)
-        found = np.flatnonzero(shared)
-        found = found[found > a]
+        lists = lists[long]
+        entries = np.concatenate([np.arange(cut[x], cut[x + 1]) for x in lists])
+        others, at = owner[entries], np.repeat(long, cut[lists + 1] - cut[lists])
+        live = others > a
         if sides is not None:
-            found = found[sides[found] != sides[a]]
-        lo, hi = np.minimum(sizes[found], sizes[a]), np.maximum(sizes[found], sizes[a])
-        found = found[(100 * lo >= percent * hi) & (shared[found] > 0)]
-        if not len(found):
+            live &= sides[others] != sides[a]
+        lo, hi = np.minimum(sizes[others], sizes[a]), np.maximum(sizes[others], sizes[a])
+        live &= 100 * lo >= percent * hi
+        if not live.any():
             continue
-        # Shared retained values bound the union sketch's matches from above.
-        depth = np.minimum(k, np.minimum(len(sketches[a]), np.array([len(sketches[x]) for x in found])))
-        guess = shared[found] / np.maximum(depth, 1)
-        t = percent / 100
-        ok = guess >= t - MARGIN * np.sqrt(t * (1 - t) / np.maximum(depth, 1))
+        found, guess, depth = union_estimates(sketches, a, others[live], at[live], spot[entries][live], k)
+        ok = guess >= t - MARGIN * np.sqrt(t * (1 - t) / depth)
         pairs.append(np.stack([np.full(ok.sum(), a), found[ok], (guess[ok] * 1e6).astype(np.int64)]))
     if not pairs:
         return []
@@ -235,13 +252,15 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = S
 
     # A set of n shingles can be linked with another set only if n / (n + 1) reaches the threshold.
     shortest = shortest_runs(percent, k)
-    keys = _runs(classes.where(F.col("n") >= min(shortest, default=k + 1)), run)
+    least = min(shortest, default=k + 1)
+    keys = _runs(classes.where(F.col("n") >= least), run)
     for length in range(1, run):
         sizes = [n for n, least in shortest.items() if least <= length]
         if sizes:
             keys = keys.unionByName(_runs(classes.where(F.col("n").isin(sizes)), length))
     keys = workspace.materialise(keys, "near-lists")
     heads = keys.groupBy("key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    heads = workspace.dealt_apart(heads, "head", "key")
     ties = keys.join(heads, "key").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
     families = connected_components(ties).withColumnRenamed("node", "rep").withColumnRenamed("component", "family")
     members = workspace.materialise(classes.select("rep", "n", "h1", "h2").join(families, "rep"), "near-members")
@@ -261,10 +280,11 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay, all columns: of every group of linked
     documents the one with the smallest doc_id, once if its id is repeated."""
     marks = workspace.materialise(near_duplicates(docs, **options).select("doc_id", "kept"), "near-marks")
-    gone = marks.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    (name,) = workspace.own_names(docs, "gone")
+    gone = marks.where("not kept").select(F.col("doc_id").alias(name)).distinct()
     if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    left = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    left = docs.join(gone, docs["doc_id"].cast("long") == F.col(name), "left_anti")
     if marks.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return left
     return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))

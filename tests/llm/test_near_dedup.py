@@ -110,6 +110,36 @@ def test_one_of_each_stays(spark):
     assert kept.columns == ["doc_id", "text", "kept"] and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
 
 
+def test_rows_that_stay_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 1, 2), (2, "a b c d e f", 1, 2), (None, "a b c d e f", 1, 2), (4, None, 1, 2)], "doc_id long, text string, gone int, _Gone int")
+    kept = N.keep_one_of_each(df)
+    assert kept.columns == df.columns and sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 4, None]
+    assert N.keep_one_of_each(df.limit(0)).collect() == []
+
+
+def test_nothing_is_broadcast_beyond_the_limit(spark, monkeypatch):
+    monkeypatch.setattr(N, "BROADCAST_ROWS", 0)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = brute([(r["doc_id"], r["text"]) for r in docs.collect()], 5, 80)
+    assert answer(N.near_duplicates(docs)) == want
+    assert sorted(r["doc_id"] for r in N.keep_one_of_each(docs).collect()) == sorted(i for i, (_, c) in want.items() if i == c)
+
+
+def test_union_sketches_estimate_similarity():
+    r = np.random.default_rng(5)
+    for k in (4, 16, 64):
+        sets = [np.unique(r.integers(0, 400, r.integers(1, 200), dtype=np.uint64)) for _ in range(12)]
+        sketches = [s[:k] for s in sets]
+        shared = [(b, i, j) for b in range(1, 12) for i, x in enumerate(sketches[0]) for j, y in enumerate(sketches[b]) if x == y]
+        shared.sort(key=lambda x: x[1])
+        if not shared:
+            continue
+        found, guess, depth = N.union_estimates(sketches, 0, *map(np.array, zip(*shared)), k)
+        for b, g, d in zip(found, guess, depth):
+            union = np.union1d(sketches[0], sketches[b])[:k]
+            assert d == len(union) and g == np.isin(union, np.intersect1d(sets[0], sets[b])).mean()
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (9, 9), (7, None), (10, 11), (11, 12), (12, 13), (13, 10)] + [(100 + k, 101 + k) for k in range(40)] + [(500, 500 + k) for k in range(1, 30)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
