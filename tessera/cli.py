@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import argparse
 import json
+import resource
+import sys
 import time
 
 from pyspark.sql import SparkSession
@@ -15,9 +17,10 @@ from .functions.embed import HashEmbedder
 from .operators import knn
 from .operators.chunker import ChunkerConfig
 from .operators.hnsw import HnswParams
-from .plans.ingest import IngestConfig, ingest
+from .operators import stats
+from .plans.ingest import SEGMENT_ROWS, IngestConfig, ingest
 from .plans.scratch import scratch
-from .plans.store import Store, StoreConfig
+from .plans.store import OpenOptions, Store, StoreConfig
 from .sources.synthetic import clustered
 
 
@@ -26,6 +29,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--store", default="./tessera-store")
     p.add_argument("--master", default="local[*]")
     p.add_argument("--log-level", default="ERROR")
+    p.add_argument("--text", action="store_true", help="lines to read instead of JSON")
+    p.add_argument("--verify", action="store_true", help="check every byte of the store before it is used")
+    p.add_argument("--cache", action="store_true", help="keep what is read of the store in memory")
     sub = p.add_subparsers(dest="command", required=True)
     a = sub.add_parser("ingest", help="chunk, embed and publish files")
     a.add_argument("paths", nargs="+")
@@ -35,6 +41,10 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--batch", type=int, default=64)
     a.add_argument("--no-dedup", action="store_true")
     a.add_argument("--no-hnsw", action="store_true")
+    a.add_argument("--no-sync", action="store_true", help="leave manifests to the file system's own time")
+    a.add_argument("--workers", type=int, default=0, help="tasks that read and chunk files")
+    a.add_argument("--segment-rows", type=int, default=SEGMENT_ROWS)
+    a.add_argument("--progress", action="store_true", help="live counters on standard error")
     a.add_argument("--m", type=int, default=16)
     a.add_argument("--ef-construction", type=int, default=200)
     a = sub.add_parser("query", help="nearest chunks of a text")
@@ -58,14 +68,65 @@ def parser() -> argparse.ArgumentParser:
 def _ingest(spark, a) -> dict:
     chunker, params = ChunkerConfig(a.chunk_bytes, a.max_chunk_bytes), None if a.no_hnsw else HnswParams.with_m(a.m, ef_construction=a.ef_construction)
     embedder = HashEmbedder(a.dim)
-    store = Store.open_or_create(spark, a.store, StoreConfig(a.dim, "cosine", embedder.fingerprint))
-    r = ingest(spark, store, a.paths, embedder, IngestConfig(chunker, a.batch, dedup=not a.no_dedup, graph=params))
-    s = r["seconds"] or 1.0
-    return r | {"tokens_per_sec": r["tokens"] / s, "chunks_per_sec": r["chunks"] / s, "mib_per_sec": r["bytes"] / 1048576 / s}
+    store = Store.open_or_create(spark, a.store, StoreConfig(a.dim, "cosine", embedder.fingerprint), _options(a))
+    tell = (lambda x: print(json.dumps(x), file=sys.stderr)) if a.progress else None
+    config = IngestConfig(chunker, a.batch, dedup=not a.no_dedup, graph=params, segment_rows=a.segment_rows, workers=a.workers)
+    report = ingest(spark, store, a.paths, embedder, config, tell=tell)
+    return stats.with_rates(spark.createDataFrame([report])).first().asDict() | process()
+
+
+def _options(a) -> OpenOptions:
+    return OpenOptions(verify=a.verify, cache=a.cache, sync=not getattr(a, "no_sync", False))
+
+
+def process() -> dict:
+    """Memory of this process now and at its peak, in bytes, and the processor."""
+    fields = {}
+    for path in ("/proc/self/status", "/proc/cpuinfo"):
+        try:
+            with open(path) as f:
+                for line in f:
+                    name, _, value = line.partition(":")
+                    fields.setdefault(name.strip(), value.strip())
+        except OSError:  # not Linux
+            pass
+    now = int(fields.get("VmRSS", "0 kB").split()[0]) * 1024
+    return {"rss_bytes": now, "peak_rss_bytes": resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024, "cpu": fields.get("model name", "unknown")}
+
+
+def time_per_call(call, *, least: float = 0.02) -> float:
+    """Seconds a call takes, over as many calls as fill ``least`` seconds."""
+    times = 1
+    while True:
+        began = time.perf_counter()
+        for _ in range(times):
+            call()
+        took = time.perf_counter() - began
+        if took >= least:
+            return took / times
+        times *= 2
+
+
+def kernels(dims=(128, 384, 768, 1536), rows: int = 4096) -> list[dict]:
+    """Time per row of the matrix product that searches use and of the loop that
+    defines it, with operations and bytes a second and the gain."""
+    import numpy as np
+
+    out = []
+    for dim in dims:
+        r = np.random.default_rng(dim)
+        block, q = r.standard_normal((rows, dim)), r.standard_normal(dim)
+        flat, one = block[0].tolist(), q.tolist()
+        for name, flops in (("dot", 2), ("cosine", 6)):
+            whole = (lambda: block @ q) if name == "dot" else (lambda: block @ q / np.sqrt(np.einsum("ij,ij->i", block, block) * (q @ q)))
+            plain = (lambda: sum(x * y for x, y in zip(one, flat))) if name == "dot" else (lambda: sum(x * y for x, y in zip(one, flat)) / (sum(x * x for x in one) * sum(y * y for y in flat)) ** 0.5)
+            took, slow = time_per_call(whole) / rows, time_per_call(plain)
+            out.append({"kernel": name, "dim": dim, "ns": took * 1e9, "gflops": flops * dim / took / 1e9, "gb_per_sec": 8 * dim / took / 1e9, "speedup": slow / took})
+    return out
 
 
 def _query(spark, a) -> dict:
-    store = Store.open(spark, a.store)
+    store = Store.open(spark, a.store, _options(a))
     embedder = HashEmbedder(store.config.dim)
     if embedder.fingerprint != store.config.fingerprint:
         raise Incompatible("the store was made with another model")
@@ -85,14 +146,14 @@ def _query(spark, a) -> dict:
 
 
 def _info(spark, a) -> dict:
-    store = Store.open(spark, a.store)
+    store = Store.open(spark, a.store, _options(a))
     snap = store.snapshot()
     segments = snap.info().withColumn("size", T.format_bytes(F.col("bytes")))
     return {"generation": snap.generation, "dim": snap.config.dim, "metric": snap.config.metric, "fingerprint": f"{snap.config.fingerprint:016x}", "vectors": len(snap), "bytes": snap.mapped_bytes, "segments": [r.asDict() for r in segments.orderBy("ordinal").collect()]}
 
 
 def _compact(spark, a) -> dict:
-    store = Store.open(spark, a.store)
+    store = Store.open(spark, a.store, _options(a))
     made = store.compact(params=None if a.no_hnsw else HnswParams())
     return {"compacted": made is not None, "report": made, "generation": store.generation, "removed": store.vacuum() if a.vacuum else []}
 
@@ -116,7 +177,7 @@ def _bench(spark, a) -> dict:
         if ef >= a.k:
             found, took = timed(mode="approximate", ef=ef)
             out["hnsw"].append({"ef": ef, "seconds": took, "recall": knn.recall(found, truth, k=a.k).first()["recall"]})
-    return out
+    return out | {"kernels": kernels()} | process()
 
 
 def _backend(spark, a) -> dict:
@@ -126,12 +187,38 @@ def _backend(spark, a) -> dict:
     return {"numpy": np.__version__, "blas": config["Build Dependencies"]["blas"]["name"], "simd": config.get("SIMD Extensions", {}), "spark": spark.version}
 
 
+def lines(value, indent: str = "") -> list[str]:
+    """A report as aligned names and values, tables as one block per row."""
+    if isinstance(value, dict):
+        width = max(map(len, value), default=0)
+        out = []
+        for k, v in value.items():
+            nested = isinstance(v, (dict, list)) and v
+            out += [f"{indent}{k}:", *lines(v, indent + "  ")] if nested else [f"{indent}{k:<{width}}  {_shown(k, v)}"]
+        return out
+    if isinstance(value, list):
+        return [x for k, v in enumerate(value) for x in [f"{indent}[{k}]", *lines(v, indent + "  ")]]
+    return [f"{indent}{value}"]
+
+
+def _shown(name: str, v) -> str:
+    if isinstance(v, bool) or not isinstance(v, (int, float)):
+        return str(v)
+    if name.endswith("bytes"):
+        unit = min(4, max(0, (int(v).bit_length() - 1) // 10))
+        return f"{v} B" if not unit else f"{v / 1024**unit:.1f} {('KiB', 'MiB', 'GiB', 'TiB')[unit - 1]}"
+    if name.endswith(("seconds", "p50", "p99")):
+        return f"{v:.2f} s" if v >= 1 else f"{v * 1e3:.2f} ms"
+    return f"{v:,}" if isinstance(v, int) else f"{v:,.3f}"
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.master(a.master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel(a.log_level)
     try:
-        print(json.dumps(globals()[f"_{a.command}"](spark, a), default=str, ensure_ascii=False, indent=2))
+        report = globals()[f"_{a.command}"](spark, a)
+        print("\n".join(lines(report)) if a.text else json.dumps(report, default=str, ensure_ascii=False, indent=2))
         return 0
     except TesseraError as e:
         print(f"error: {e}")

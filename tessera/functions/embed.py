@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from ..errors import ConfigError
 from .hashing import finalize, hash_bytes, hash_ranges, reduce_range, rotate
 
+# Words that the hashing embedder leaves out.
 STOPWORDS = frozenset(
-    x.encode() for x in ("a", "an", "are", "as", "at", "be", "by", "for", "from", "has", "have", "in", "into", "is", "it", "its", "of", "on", "or", "and", "that", "the", "this", "to", "was", "were", "with")
+    x.encode() for x in ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "in", "into", "is", "it", "its", "of", "on", "or", "that", "the", "this", "to", "was", "were", "with")
 )
+#: The same as numbers, a byte after the other: none is longer than four.
+_STOPS = np.array(sorted(int.from_bytes(x, "big") for x in STOPWORDS), np.int64)
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -83,19 +86,22 @@ class HashEmbedder(Embedder):
             stop[inner - 1] = word[inner - 1]
         starts, ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
         low = _LOWER[data]
-        flat = low.tobytes()
         size = ends - starts
         keep = ~((size == 1) & (data[starts] < 128)) if len(starts) else np.zeros(0, bool)
-        for k in np.flatnonzero(keep & (size <= 4)):
-            keep[k] = flat[starts[k] : ends[k]] not in STOPWORDS
+        short = np.flatnonzero(keep & (size <= 4))
+        code = np.zeros(len(short), np.int64)
+        for j in range(4):
+            here = size[short] > j
+            code[here] = (code[here] << 8) | low[starts[short[here]] + j]
+        keep[short] = ~np.isin(code, _STOPS)
         starts, ends = starts[keep], ends[keep]
         owner = np.searchsorted(ends_of, starts, side="right") - 1
         h = hash_ranges(low, starts, ends, self.seed)
         place, sign = self._bucket(h)
-        np.add.at(out, owner * dim + place, sign)
+        out += np.bincount(owner * dim + place, weights=sign, minlength=n * dim)
         two = np.flatnonzero(owner[1:] == owner[:-1])
         place, sign = self._bucket(finalize(rotate(h[two], 17) ^ h[two + 1]))
-        np.add.at(out, owner[two] * dim + place, 0.5 * sign)
+        out += np.bincount(owner[two] * dim + place, weights=0.5 * sign, minlength=n * dim)
         m = out.reshape(n, dim)
         m = np.sign(m) * np.sqrt(np.abs(m))
         for k in np.flatnonzero(~m.any(axis=1)):

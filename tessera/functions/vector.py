@@ -24,6 +24,13 @@ def _sum(terms: Column) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
 
 
+def _with(value: Column, then) -> Column:
+    """``then(value)`` with the value worked out once: as the variable of a lambda,
+    where a plain expression would be evaluated again at each of its places, and
+    inside of another lambda for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _paired(a, b, term) -> Column:
     a, b = _col(a), _col(b)
     return F.when(F.size(a) == F.size(b), _sum(F.zip_with(a, b, lambda x, y: term(x.cast("double"), y.cast("double")))))
@@ -45,8 +52,8 @@ def norm_sq(a) -> Column:
 
 def cosine(a, b) -> Column:
     """Cosine similarity; 0 if either side has no length."""
-    squares = norm_sq(a) * norm_sq(b)
-    return F.when(squares <= TINY, F.when(F.size(_col(a)) == F.size(_col(b)), F.lit(0.0))).otherwise(dot(a, b) / F.sqrt(squares))
+    short = F.when(F.size(_col(a)) == F.size(_col(b)), F.lit(0.0))
+    return _with(norm_sq(a) * norm_sq(b), lambda squares: F.when(squares <= TINY, short).otherwise(dot(a, b) / F.sqrt(squares)))
 
 
 def score(metric: str | Metric, a, b) -> Column:
@@ -57,14 +64,20 @@ def score(metric: str | Metric, a, b) -> Column:
 
 def has_length(a) -> Column:
     """Whether a vector can be normalised: its squared norm fits single precision and is not tiny."""
-    n = norm_sq(a)
+    return _with(norm_sq(a), _long_enough)
+
+
+def _long_enough(n: Column) -> Column:
     return (n > TINY) & (n <= 3.4028234663852886e38)
 
 
 def normalize(a) -> Column:
     """Unit length in single precision; null where has_length is false."""
-    root = F.sqrt(norm_sq(a))
-    return F.when(has_length(a), F.transform(_col(a), lambda x: (x.cast("double") / root).cast("float")))
+
+    def scaled(n):
+        return _with(F.sqrt(n), lambda root: F.transform(_col(a), lambda x: (x.cast("double") / root).cast("float")))
+
+    return _with(norm_sq(a), lambda n: F.when(_long_enough(n), scaled(n)))
 
 
 def first_not_finite(a) -> Column:

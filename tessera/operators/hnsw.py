@@ -75,7 +75,7 @@ class _Space:
 def _greedy(space, graph_links, q, at, dist, layer):
     """Move to a strictly nearer neighbour until none is nearer."""
     while True:
-        around = graph_links(at, layer)
+        around = [x for x in graph_links(at, layer) if 0 <= x < len(space.rows)]
         if not around:
             return at, dist
         d = space.near(q, around)

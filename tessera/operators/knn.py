@@ -150,11 +150,21 @@ def search_frame(rows: DataFrame, queries: DataFrame, *, k: int, metric: str | M
 
 def search_expressions(rows: DataFrame, queries: DataFrame, *, k: int, metric: str | Metric) -> DataFrame:
     """The defining form: every query of ``queries`` (query_id, query) against
-    every row; the query side, a stated set, is broadcast."""
+    every row, a block of at most BROADCAST queries at a time."""
     metric = Metric.parse(metric)
-    pairs = rows.crossJoin(F.broadcast(queries.select("query_id", "query")))
-    scored = pairs.select("query_id", "segment_id", "ordinal", "row", "id", V.score(metric, "query", "vector").alias("score"))
-    return ranked(scored.where("score is not null"), k)
+    schema = queries.select("query_id", "query").schema
+
+    def run(block):
+        asked = F.broadcast(rows.sparkSession.createDataFrame(block, schema))
+        scored = rows.join(asked).select("query_id", "segment_id", "ordinal", "row", "id", V.score(metric, "query", "vector").alias("score"))
+        return ranked(scored.where("score is not null"), k)
+
+    return in_blocks(queries, run)
+
+
+def above(hits: DataFrame, least: float) -> DataFrame:
+    """The hits that score ``least`` or more; ranks stay as they are."""
+    return hits.where(F.col("score") >= least)
 
 
 def stored_rows(df: DataFrame, *, id_col: str, vector_col: str, metric: str | Metric, dim: int, segment_id=0, ordinal=0) -> DataFrame:

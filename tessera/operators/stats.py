@@ -5,17 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def percentile(column, p: float) -> Column:
-    """Nearest rank: the value at ceil(p / 100 * n), clamped to 1..n."""
-    name = column if isinstance(column, str) else None
-    return F.expr(f"percentile_disc({min(max(p, 0.0), 100.0) / 100.0}) within group (order by {name})")
-
-
-def latency_report(df: DataFrame, column: str) -> DataFrame:
-    """p50, p99, n and queries per second of a column of seconds."""
+from .rows import dense_numbers
+
+
+def nearest_ranks(df: DataFrame, groups: list[str], column: str, ps: dict[str, float], folder: str) -> DataFrame:
+    """One row per group with a column for each of ``ps`` (name to percentile): the
+    value at place ceil(p / 100 * n), clamped to 1..n. Values are sorted and
+    numbered over the cluster; no group is gathered anywhere. Nulls do not count."""
+    kept = df.where(F.col(column).isNotNull()).select(*groups, column)
+    numbered = dense_numbers(kept, [*groups, column], "_row", folder)
+    starts = numbered.groupBy(*groups).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    pick = {k: F.col("_first") + F.greatest(F.lit(1), F.ceil(F.lit(min(max(p, 0.0), 100.0)) * F.col("_n") / 100.0)).cast("long") - 1 for k, p in ps.items()}
+    if not groups:
+        return numbered.join(F.broadcast(starts)).groupBy().agg(*[F.max(F.when(F.col("_row") == at, F.col(column))).alias(k) for k, at in pick.items()])
+    # Groups meet their rows by number alone: one row per group and percentile is asked for.
+    asked = starts.select(*groups, F.explode(F.array(*[F.struct(F.lit(k).alias("name"), at.alias("_row")) for k, at in pick.items()])).alias("x")).select(*groups, "x.name", "x._row")
+    found = asked.join(numbered.select("_row", column), "_row")
+    return found.groupBy(*groups).agg(*[F.max(F.when(F.col("name") == k, F.col(column))).alias(k) for k in ps])
+
+
+def latency_report(df: DataFrame, column: str, folder: str) -> DataFrame:
+    """p50, p99, n and queries per second (n over the sum) of a column of seconds."""
+    ranks = nearest_ranks(df, [], column, {"p50": 50, "p99": 99}, folder)
     total = F.sum(column)
-    return df.agg(percentile(column, 50).alias("p50"), percentile(column, 99).alias("p99"), F.count(column).alias("n"), F.when(total > 0, F.count(column) / total).otherwise(0.0).alias("qps"))
+    totals = df.agg(F.count(column).alias("n"), F.when(total > 0, F.count(column) / total).otherwise(0.0).alias("qps"))
+    return ranks.join(F.broadcast(totals)).select("p50", "p99", "n", "qps")  # one row each
 
 
 def rate(count, seconds) -> Column:

@@ -1,7 +1,9 @@
 """A store of immutable vector segments under an atomically replaced manifest.
 
 Segments are Parquet folders (row, id, vector, payload), graphs are Parquet
-folders beside them. A manifest names the segments of one generation; a reader
+folders beside them, one for each segment. A call that publishes many rows makes
+several segments of bounded size in one generation, so that graphs are built, and
+later searched, in as many tasks. A manifest names the segments of one generation; a reader
 holds a snapshot of it and is never disturbed, since folders of past
 generations stay until ``vacuum``. One writer at a time holds the lock file.
 """
@@ -16,7 +18,8 @@ import zlib
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError, Corrupt, Incompatible, Locked, StoreError
@@ -33,7 +36,8 @@ MODES = ("auto", "exact", "approximate")
 class Folder:
     """Files of a store through Spark's file system layer, local or remote."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, *, sync: bool = True):
+        self.sync = sync
         self.spark, self.root = spark, root if re.match(r"\w+:", root) else "file://" + _absolute(root)
         self.jvm = spark.sparkContext._jvm
         self.fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -61,7 +65,7 @@ class Folder:
         stream = self.fs.create(self._path(name), overwrite)
         try:
             stream.write(bytearray(data))
-            if hasattr(stream, "hsync"):
+            if self.sync and hasattr(stream, "hsync"):
                 stream.hsync()
         finally:
             stream.close()
@@ -78,6 +82,15 @@ class Folder:
     def delete(self, name: str) -> None:
         self.fs.delete(self._path(name), True)
 
+    def move(self, old: str, new: str) -> None:
+        if not self.fs.rename(self._path(old), self._path(new)):
+            raise StoreError(f"{old} cannot be moved to {new}")
+
+    def sizes(self, name: str) -> dict[str, int]:
+        """Part files of a table and their lengths."""
+        found = [(x.getPath().getName(), x.getLen()) for x in self.fs.listStatus(self._path(name))] if self.exists(name) else []
+        return {k: n for k, n in found if k.startswith("part-")}
+
     def make(self) -> None:
         self.fs.mkdirs(self._path(""))
 
@@ -107,8 +120,25 @@ class Segment:
     rows: int
     bytes: int
     has_payload: bool
-    graph: dict | None  # m, m0, layers
-    files: dict  # part file -> [length, crc32]
+    graph: dict | None  # m, m0, layers, digest
+    files: dict  # part file -> length
+    digest: str  # of all bytes of the part files
+
+
+@dataclass(frozen=True)
+class OpenOptions:
+    """How a store is opened: ``verify`` reads and checks everything first, ``cache``
+    keeps rows and graphs of a snapshot in the executors' memory (and on their disks
+    beyond it) once they are read, ``sync`` forces manifests to disk."""
+
+    verify: bool = False
+    cache: bool = False
+    sync: bool = True
+
+
+#: Columns of a segment and of a graph.
+ROWS = "row long, id long, vector array<float>, payload string"
+GRAPH = "node int, layer int, neighbors array<int>"
 
 
 @dataclass(frozen=True)
@@ -119,6 +149,7 @@ class Snapshot:
     generation: int
     config: StoreConfig
     segments: tuple[Segment, ...]
+    cache: bool = False
 
     def __len__(self) -> int:
         return sum(s.rows for s in self.segments)
@@ -139,12 +170,15 @@ class Snapshot:
         spark = self.folder.spark
         if not chosen:
             return spark.createDataFrame([], "segment_id long, ordinal int, row long, id long, vector array<float>, payload string")
-        df = spark.read.schema("row long, id long, vector array<float>, payload string").parquet(*[self.folder.at(s.name) for s in chosen])
-        return self._numbered(df).select("segment_id", "ordinal", "row", "id", "vector", "payload")
+        df = spark.read.schema(ROWS).parquet(*[self.folder.at(s.name) for s in chosen])
+        return self._held(self._numbered(df).select("segment_id", "ordinal", "row", "id", "vector", "payload"))
+
+    def _held(self, df: DataFrame) -> DataFrame:
+        return df.persist(StorageLevel.MEMORY_AND_DISK) if self.cache else df
 
     def graphs(self, segments: list[Segment]) -> DataFrame:
-        df = self.folder.spark.read.schema("node int, layer int, neighbors array<int>").parquet(*[self.folder.at(s.name + ".graph") for s in segments])
-        return self._numbered(df).select("segment_id", "node", "layer", "neighbors")
+        df = self.folder.spark.read.schema(GRAPH).parquet(*[self.folder.at(s.name + ".graph") for s in segments])
+        return self._held(self._numbered(df).select("segment_id", "node", "layer", "neighbors"))
 
     def search(self, queries, **options) -> DataFrame:
         """Hits of a list of (id, vector) or a frame (query_id, query); see ``search_block``."""
@@ -176,57 +210,79 @@ class Snapshot:
         return self.folder.spark.createDataFrame(rows, "ordinal int, segment_id long, name string, vectors long, bytes long, index string, m int, layers int, payload boolean")
 
     def verify(self) -> None:
-        """Read every part file and compare its length and checksum."""
+        """Check every segment and graph against the manifest: part files, their
+        lengths and columns, and every byte of them."""
+        if not self.segments:
+            return
+        graphs = [s for s in self.segments if s.graph]
         for s in self.segments:
-            found = _files(self.folder, s.name)
-            if found != {k: list(v) for k, v in s.files.items()}:
-                raise Corrupt(f"{s.name} differs from its manifest")
-
-
-def _files(folder: Folder, name: str) -> dict:
-    rows = folder.spark.read.format("binaryFile").load(folder.at(name)).select(F.regexp_extract("path", r"([^/]+)$", 1), "length", F.crc32("content")).collect()  # a row per part file
-    return {r[0]: [r[1], r[2]] for r in rows}
+            if self.folder.sizes(s.name) != s.files:
+                raise Corrupt(f"{s.name} has other files than its manifest says")
+        for want, made, part in ((lambda s: s.digest, self.segments, ""), (lambda s: s.graph["digest"], graphs, ".graph")):
+            found = _digests(self.folder, [s.name + part for s in made])
+            for s in made:
+                if found.get(s.id) != want(s):
+                    raise Corrupt(f"{s.name}{part} differs from its manifest")
+        for made, part, schema in ((self.segments, "", ROWS), (graphs, ".graph", GRAPH)):
+            if made:
+                stored = self.folder.spark.read.option("mergeSchema", "true").parquet(*[self.folder.at(s.name + part) for s in made])
+                if [f"{k} {t}" for k, t in stored.dtypes] != schema.replace(" long", " bigint").split(", "):
+                    raise Corrupt(f"a part file has the columns {stored.dtypes}")
+
+
+def _digests(folder: Folder, names: list[str]) -> dict[int, str]:
+    """Segment number -> digest of all bytes of its part files. Files are read by
+    the text source, cut at line feeds: splits of any file are read in parallel, and
+    no task holds a file. One row per segment comes back."""
+    if not names:
+        return {}
+    lines = folder.spark.read.option("lineSep", "\n").text([folder.at(n) for n in names])
+    path = F.col("_metadata.file_path")
+    whole = F.xxhash64(F.regexp_extract(path, r"([^/]+)$", 1), F.col("value").cast("binary"))
+    # Neither depends on the order of lines; the sum tells lines that occur twice.
+    digest = F.concat_ws("-", F.count(F.lit(1)).cast("string"), F.hex(F.bit_xor(whole)), F.hex(F.sum(F.shiftrightunsigned(whole, 24))))
+    return {r[0]: r[1] for r in lines.groupBy(F.regexp_extract(path, r"/seg-(\d+)", 1).cast("long")).agg(digest).collect()}
 
 
 class Store:
     """Publishing, compaction and snapshots of one folder."""
 
-    def __init__(self, folder: Folder, body: dict):
-        self.folder, self._body = folder, body
+    def __init__(self, folder: Folder, body: dict, cache: bool = False):
+        self.folder, self._body, self.cache = folder, body, cache
         c = body["config"]
         self.config = StoreConfig(c["dim"], c["metric"], int(c["fingerprint"], 16))
 
     # -- opening ---------------------------------------------------------
     @classmethod
-    def open(cls, spark: SparkSession, root: str, *, verify: bool = False) -> Store:
-        folder = Folder(spark, root)
-        store = cls(folder, read_manifest(folder))
+    def open(cls, spark: SparkSession, root: str, options: OpenOptions = OpenOptions(), *, verify: bool = False) -> Store:
+        folder = Folder(spark, root, sync=options.sync)
+        store = cls(folder, read_manifest(folder), options.cache)
         for s in store.snapshot().segments:
             if not folder.exists(s.name) or s.graph and not folder.exists(s.name + ".graph"):
                 raise Corrupt(f"{s.name} is missing")
-        if verify:
+        if verify or options.verify:
             store.snapshot().verify()
         return store
 
     @classmethod
-    def open_or_create(cls, spark: SparkSession, root: str, config: StoreConfig) -> Store:
-        folder = Folder(spark, root)
+    def open_or_create(cls, spark: SparkSession, root: str, config: StoreConfig, options: OpenOptions = OpenOptions()) -> Store:
+        folder = Folder(spark, root, sync=options.sync)
         if folder.exists(MANIFEST):
-            store = cls.open(spark, root)
+            store = cls.open(spark, root, options)
             if store.config != StoreConfig(config.dim, Metric.parse(config.metric).value, config.fingerprint):
                 raise Incompatible(f"the store has {store.config}, not {config}")
             return store
         folder.make()
         body = {"generation": 0, "next_segment": 1, "config": {"dim": config.dim, "metric": Metric.parse(config.metric).value, "fingerprint": f"{config.fingerprint:016x}"}, "segments": [], "batches": {}}
         write_manifest(folder, body)
-        return cls(folder, body)
+        return cls(folder, body, options.cache)
 
     def reload(self) -> Store:
         self._body = read_manifest(self.folder)
         return self
 
     def snapshot(self) -> Snapshot:
-        return Snapshot(self.folder, self._body["generation"], self.config, tuple(Segment(**s) for s in self._body["segments"]))
+        return Snapshot(self.folder, self._body["generation"], self.config, tuple(Segment(**s) for s in self._body["segments"]), self.cache)
 
     @property
     def generation(self) -> int:
@@ -258,72 +314,101 @@ class Store:
         """For a lock whose writer has died."""
         self.folder.delete(LOCK)
 
-    def publish(self, df: DataFrame, *, order: list | None = None, params: hnsw.HnswParams | None = None, fingerprint: int | None = None, batch: tuple[str, int] | None = None) -> dict:
-        """Add rows (id, vector, payload) as one segment, numbered by ``order``.
-        Bad rows fail the whole call. Returns a report."""
+    def publish(self, df: DataFrame, *, order: list | None = None, params: hnsw.HnswParams | None = None, fingerprint: int | None = None, batch: tuple[str, int] | None = None, segment_rows: int | None = None, numbered: bool = False) -> dict:
+        """Add rows (id, vector, payload), numbered by ``order``, as one segment or as
+        segments of ``segment_rows`` rows each. If the ids are ``numbered`` from 0, in
+        order, each once and with few gaps, a segment takes ``segment_rows`` ids, and
+        no sort of all rows is needed. Bad rows fail the whole call. Returns a report."""
         if fingerprint is not None and fingerprint != self.config.fingerprint:
             raise Incompatible("vectors of another model")
+        if segment_rows is not None and segment_rows <= 0 or numbered and not segment_rows:
+            raise ConfigError("segment_rows is positive")
         if "payload" not in df.columns:
             df = df.withColumn("payload", F.lit(None).cast("string"))
         c = self.config
-        checked = df.withColumn("_problem", V.problem("vector", c.dim, c.metric))
-        bad = checked.where("_problem is not null").select("id", "_problem").first()
-        if bad:
-            raise StoreError(f"row {bad['id']}: {bad['_problem']}")
         vector = V.normalize("vector") if Metric.parse(c.metric).normalizes else F.col("vector").cast("array<float>")
-        ready = df.withColumn("vector", vector)
+        ready = df.withColumn("_problem", V.problem("vector", c.dim, c.metric)).withColumn("vector", vector)
         with self.writer():
-            return self._write(ready, order or ["id"], params, lambda segments, new: [*segments, new], batch)
-
-    def _write(self, ready: DataFrame, order: list, params, arrange, batch=None) -> dict:
-        body = self._body
-        number = body["next_segment"]
-        name, aside = f"seg-{number:010d}", f".rows-{uuid.uuid4().hex}"
-        for leftover in (name, name + ".graph"):  # of a writer that died before its manifest
-            self.folder.delete(leftover)
+            return self._write(ready, order or ["id"], params, lambda segments, new: [*segments, *new], batch, segment_rows, numbered)
+
+    def _write(self, ready: DataFrame, order: list, params, arrange, batch=None, segment_rows: int | None = None, numbered: bool = False) -> dict:
+        """Rows are checked, counted and stored with their numbers, a folder for each
+        segment: numbered by one sort of all rows, or by id inside each segment."""
+        body, folder = self._body, self.folder
+        first, aside = body["next_segment"], f".rows-{uuid.uuid4().hex}"
+        names: list[str] = []
         began = time.time()
         try:
-            numbered = dense_numbers(ready, order, "row", self.folder.at(aside)).select("row", "id", "vector", "payload")
-            numbered.write.parquet(self.folder.at(name))
-            made = self.folder.spark.read.parquet(self.folder.at(name))
-            rows, payloads = made.agg(F.count(F.lit(1)), F.count("payload")).first()
+            problem = F.col("_problem") if "_problem" in ready.columns else F.lit(None).cast("string")
+            measures = {"payloads": F.count("payload"), "bad": F.min(F.when(problem.isNotNull(), F.struct("id", problem.alias("problem"))))}
+            if numbered:
+                ready = ready.withColumn("part", F.floor(F.col("id") / segment_rows).cast("long"))
+                parts = ready.groupBy("part").agg(F.count(F.lit(1)).alias("_rows"), *[m.alias(k) for k, m in measures.items()]).orderBy("part").collect()
+                sizes = {p["part"]: p["_rows"] for p in parts}  # one number per segment
+                place = F.row_number().over(Window.partitionBy("part").orderBy("id")).cast("long") - 1
+                ready = ready.withColumn("row", place)
+            else:
+                ready, parts = dense_numbers(ready, order, "row", folder.at(aside + "/sorted"), measures)
+                total = sum(p["_rows"] for p in parts)
+                many = segment_rows or max(1, total)
+                sizes = {k: min(many, total - k * many) for k in range(-(-total // many))}
+                ready = ready.withColumn("part", F.floor(F.col("row") / many).cast("long")).withColumn("row", F.col("row") % many)
+            for bad in (p["bad"] for p in parts if p["bad"]):
+                raise StoreError(f"row {bad['id']}: {bad['problem']}")
+            rows, payloads = (sum(p[k] for p in parts) for k in ("_rows", "payloads"))
             if not rows:
                 raise StoreError("there is nothing to publish")
-            if payloads and payloads < rows:  # a segment with payloads has one for each row
-                self.folder.delete(name)
-                numbered.withColumn("payload", F.coalesce("payload", F.lit(""))).write.parquet(self.folder.at(name))
+            payload = F.coalesce("payload", F.lit("")) if payloads else F.col("payload")  # a segment with payloads has one for each row
+            ready.select("part", "row", "id", "vector", payload.alias("payload")).write.partitionBy("part").parquet(folder.at(aside + "/parts"))
+            numbers = {k: first + k for k in sizes}
+            names = [f"seg-{n:010d}" for n in numbers.values()]
+            for k, name in zip(numbers, names):
+                for leftover in (name, name + ".graph"):  # of a writer that died before its manifest
+                    folder.delete(leftover)
+                folder.move(f"{aside}/parts/part={k}", name)
+            digests = _digests(folder, names)
             written = time.time()
-            graph = None
+            graphs: dict[int, dict] = {}
             if params is not None:
-                source = self.folder.spark.read.parquet(self.folder.at(name)).select(F.lit(number).cast("long").alias("segment_id"), "row", "vector")
-                hnsw.build_graphs(source, self.config.metric, params).drop("segment_id").write.parquet(self.folder.at(name + ".graph"))
-                head = self.folder.spark.read.parquet(self.folder.at(name + ".graph")).where("node = -1").first()
-                graph = {"m": params.m, "m0": params.m0, "layers": head["neighbors"][1] + 1}
-            files = _files(self.folder, name)
-            new = Segment(number, name, rows, sum(v[0] for v in files.values()), bool(payloads), graph, files)
-            fresh = {**body, "generation": body["generation"] + 1, "next_segment": number + 1, "segments": arrange(body["segments"], asdict(new))}
+                source = folder.spark.read.schema(ROWS).parquet(*[folder.at(n) for n in names])
+                source = source.select(F.regexp_extract(F.col("_metadata.file_path"), r"/seg-(\d+)", 1).cast("long").alias("segment_id"), "row", "vector")
+                hnsw.build_graphs(source, self.config.metric, params).withColumnRenamed("segment_id", "part").write.partitionBy("part").parquet(folder.at(aside + "/graphs"))
+                for n, name in zip(numbers.values(), names):
+                    folder.move(f"{aside}/graphs/part={n}", name + ".graph")
+                made = folder.spark.read.schema(GRAPH).parquet(*[folder.at(n + ".graph") for n in names]).where("node = -1")
+                heads = made.select(F.regexp_extract(F.col("_metadata.file_path"), r"/seg-(\d+)", 1).cast("long"), F.col("neighbors")[1]).collect()  # one row per segment
+                marks = _digests(folder, [n + ".graph" for n in names])
+                graphs = {n: {"m": params.m, "m0": params.m0, "layers": top + 1, "digest": marks[n]} for n, top in heads}
+            new = []
+            for k, name in zip(numbers, names):
+                files = folder.sizes(name)
+                new.append(Segment(numbers[k], name, sizes[k], sum(files.values()), bool(payloads), graphs.get(numbers[k]), files, digests[numbers[k]]))
+            fresh = {**body, "generation": body["generation"] + 1, "next_segment": max(numbers.values()) + 1, "segments": arrange(body["segments"], [asdict(s) for s in new])}
             if batch:
                 fresh["batches"] = {**body["batches"], batch[0]: batch[1]}
-            write_manifest(self.folder, fresh)
+            write_manifest(folder, fresh)
         except BaseException:
-            for leftover in (name, name + ".graph"):
-                self.folder.delete(leftover)
+            for name in names:
+                for leftover in (name, name + ".graph"):
+                    folder.delete(leftover)
             raise
         finally:
-            self.folder.delete(aside)
+            folder.delete(aside)
         self._body = fresh
-        return {"path": self.folder.at(name), "rows": rows, "bytes": new.bytes, "has_graph": graph is not None, "write_seconds": written - began, "build_seconds": time.time() - written}
+        return {
+            "path": folder.at(names[0]), "segments": len(new), "rows": rows, "bytes": sum(s.bytes for s in new), "has_graph": params is not None, "write_seconds": written - began, "build_seconds": time.time() - written,
+        }
 
-    def compact(self, *, params: hnsw.HnswParams | None = None) -> dict | None:
-        """Merge all segments of this moment into one, first in order; None if
-        there are fewer than two. Rows are copied as they are, in (ordinal, row)
+    def compact(self, *, params: hnsw.HnswParams | None = None, segment_rows: int | None = None) -> dict | None:
+        """Merge all segments of this moment into one (or into segments of
+        ``segment_rows`` rows), first in order; None if there are fewer than two. Rows are copied as they are, in (ordinal, row)
         order, so exact results do not change."""
         with self.writer():
             pinned = self.snapshot()
             if len(pinned.segments) < 2:
                 return None
             gone = {s.id for s in pinned.segments}
-            return self._write(pinned.rows(), ["ordinal", "row"], params, lambda segments, new: [new, *[s for s in segments if s["id"] not in gone]])
+            return self._write(pinned.rows(), ["ordinal", "row"], params, lambda segments, new: [*new, *[s for s in segments if s["id"] not in gone]], None, segment_rows)
 
     def vacuum(self) -> list[str]:
         """Delete segment folders that the current manifest does not name."""

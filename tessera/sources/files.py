@@ -8,6 +8,7 @@ files are then read by their explicit paths on the executors.
 from __future__ import annotations
 
 import os
+import uuid
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..errors import IngestError
 from ..functions.text import EXTENSIONS
 
+# Names of folders that are left out.
 SKIPPED_FOLDERS = frozenset(("__pycache__", "dist", "node_modules", "target", "venv"))
 MAX_FILE_BYTES = 16 << 20
 
@@ -109,3 +111,22 @@ def read_files(spark: SparkSession, found: Discovery, *, files_per_task: int = 2
         return spark.createDataFrame([], schema)
     names = spark.createDataFrame([(p, k, os.path.abspath(p)) for p, k in found.files], "path string, kind string, file string")
     return names.repartition(max(1, len(found.files) // files_per_task)).mapInArrow(_read, schema)
+
+
+def write_files(rows: DataFrame, root: str) -> None:
+    """Every row of ``rows`` (path, text) as a file below ``root``, a folder on a
+    mount that all executors share. A file is moved into place when it is whole, so
+    a task that runs again leaves the same files."""
+
+    def run(stream):
+        for batch in stream:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                at = os.path.join(root, path)
+                os.makedirs(os.path.dirname(at), exist_ok=True)
+                aside = f"{at}.{uuid.uuid4().hex}.part"
+                with open(aside, "wb") as f:
+                    f.write((text or "").encode())
+                os.replace(aside, at)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["files"])
+
+    rows.select("path", "text").mapInArrow(run, "files long").agg({"files": "sum"}).collect()

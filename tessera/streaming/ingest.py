@@ -1,7 +1,9 @@
 """Continuous ingest: new files of a folder become segments, batch by batch.
 
 The batch number is the key of idempotence: it is written in the manifest with
-the segment, so a batch that is delivered again after a failure is skipped.
+the segment, so a batch that is delivered again after a failure is skipped. Texts
+are told apart over all batches of a source: digests of what each batch has
+published stay beside the segments, under the batch's number.
 """
 
 from __future__ import annotations

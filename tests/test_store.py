@@ -5,12 +5,14 @@ import numpy as np
 import pytest
 
 from tessera.cli import main
-from tessera.errors import Corrupt, Incompatible, IngestError, Locked, StoreError
+from tessera.errors import ConfigError, Corrupt, Incompatible, IngestError, Locked, StoreError
 from tessera.functions.embed import HashEmbedder
 from tessera.operators.chunker import ChunkerConfig
 from tessera.operators.hnsw import HnswParams
 from tessera.plans.ingest import IngestConfig, ingest
-from tessera.plans.store import MANIFEST, Store, StoreConfig
+from tessera.plans.index import ExactIndex, GraphIndex, VectorIndex
+from tessera.plans.progress import Progress
+from tessera.plans.store import MANIFEST, OpenOptions, Store, StoreConfig
 from tessera.sources.files import discover
 from tessera.streaming.ingest import file_stream, start_ingest
 
@@ -149,3 +151,95 @@ def test_command_line(spark, corpus, tmp_path, capsys):
     assert main([*at, "compact", "--vacuum"]) == 0 and '"compacted": false' in capsys.readouterr().out
     assert main(["--store", str(tmp_path / "no"), "--master", "local[4]", "info"]) == 1
     assert main([*at, "backend"]) == 0
+    again = [*at, "--text", "--verify", "--cache"]
+    assert main([*again, "ingest", str(corpus), "--dim", "64", "--workers", "2", "--no-sync", "--segment-rows", "3", "--progress"]) == 0
+    shown = capsys.readouterr()
+    report = {k: v for k, _, v in (x.partition("  ") for x in shown.out.splitlines())}
+    assert {"tokens_per_sec", "chunks_per_sec", "mib_per_sec", "micros_per_vector", "peak_rss_bytes", "cpu", "bytes"} <= {k.strip() for k in report}
+    seen = [json.loads(x) for x in shown.err.splitlines() if x.startswith('{"phase')]
+    assert seen[-1]["phase"] == "done" and seen[-1]["written"] > 0 and {"tasks", "tasks_done", "seconds"} <= seen[0].keys()
+    assert main([*again, "info"]) == 0 and "hnsw" in capsys.readouterr().out
+    assert main([*at, "bench", "--n", "300", "--dim", "8", "--queries", "3"]) == 0
+    made = json.loads(capsys.readouterr().out)
+    assert made["kernels"] and all(k["ns"] > 0 and k["gflops"] > 0 for k in made["kernels"]) and made["rss_bytes"] > 0
+
+
+def test_segments_of_bounded_size_from_one_call(spark, tmp_path):
+    store = Store.open_or_create(spark, str(tmp_path), CONFIG)
+    rows = vectors(spark, 50, payload=True)
+    asked = [(0, [1.0] * 8), (1, [float(k) for k in range(8)])]
+    hits = lambda s: [tuple(r) for r in s.search(asked, k=9, mode="exact").orderBy("query_id", "rank").select("query_id", "rank", "id", "score").collect()]
+    report = store.publish(rows, params=HnswParams(), segment_rows=16)
+    assert (report["segments"], report["rows"], [s.rows for s in store.snapshot().segments]) == (4, 50, [16, 16, 16, 2])
+    one = hits(store)
+    whole = Store.open_or_create(spark, str(tmp_path / "one"), CONFIG)
+    whole.publish(rows)
+    assert one == hits(whole) and [r["id"] for r in store.search(asked[:1], k=5, mode="approximate").orderBy("rank").collect()] == [r[2] for r in one[:5]]
+    assert store.compact(segment_rows=40)["segments"] == 2 and hits(store) == one
+    Store.open(spark, str(tmp_path), OpenOptions(verify=True))
+    # Numbered ids with a gap that fills a segment: the numbers of the others stay in order.
+    gaps = Store.open_or_create(spark, str(tmp_path / "gaps"), CONFIG)
+    gaps.publish(rows.where("id < 16 or id >= 32"), segment_rows=16, numbered=True)
+    assert [(s.id, s.rows) for s in gaps.snapshot().segments] == [(1, 16), (3, 16), (4, 2)]
+    gaps.publish(vectors(spark, 5, 100))
+    assert gaps.snapshot().segments[-1].id == 5 and {r["row"] for r in gaps.snapshot().rows().where("segment_id = 3").collect()} == set(range(16))
+    with pytest.raises(ConfigError):
+        gaps.publish(rows, segment_rows=0)
+
+
+def test_a_damaged_graph_or_schema_is_found(spark, tmp_path):
+    store = Store.open_or_create(spark, str(tmp_path), CONFIG)
+    store.publish(vectors(spark, 30), params=HnswParams())
+    graph = tmp_path / (store.snapshot().segments[0].name + ".graph")
+    part = next(p for p in graph.iterdir() if p.name.startswith("part"))
+    kept = part.read_bytes()
+    for at in (5, len(kept) // 3, len(kept) - 20):
+        data = bytearray(kept)
+        data[at] ^= 4
+        part.write_bytes(data)
+        (graph / f".{part.name}.crc").unlink(missing_ok=True)
+        with pytest.raises(Corrupt):
+            Store.open(spark, str(tmp_path), verify=True)
+    part.write_bytes(kept)
+    Store.open(spark, str(tmp_path), verify=True)
+    store.folder.move(store.snapshot().segments[0].name, "aside")
+    with pytest.raises(Corrupt):
+        Store.open(spark, str(tmp_path))
+
+
+def test_texts_are_told_apart_over_micro_batches(spark, tmp_path):
+    e = HashEmbedder(16)
+    store = Store.open_or_create(spark, str(tmp_path / "store"), StoreConfig(16, "cosine", e.fingerprint))
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def run(mark):
+        start_ingest(file_stream(spark, str(folder)), store, e, str(tmp_path / mark), IngestConfig(graph=None)).awaitTermination()
+        return [r["payload"].split("\n", 1)[1] for r in store.reload().snapshot().rows().orderBy("ordinal", "row").collect()]
+
+    (folder / "a.txt").write_text("one text")
+    assert run("m") == ["one text"]
+    (folder / "b.txt").write_text("one text")
+    (folder / "c.txt").write_text("another")
+    assert run("m") == ["one text", "another"]
+    (folder / "d.txt").write_text("another")
+    assert run("m") == ["one text", "another"]
+
+
+def test_indexes_share_one_interface(spark):
+    m = np.random.default_rng(3).standard_normal((200, 8))
+    rows = spark.createDataFrame([(0, 0, i, i, [float(x) for x in v]) for i, v in enumerate(m)], "segment_id long, ordinal int, row long, id long, vector array<float>")
+    for kind in (ExactIndex, GraphIndex):
+        index = kind(rows, "l2", 8)
+        assert isinstance(index, VectorIndex) and (index.dim, index.metric.value, len(index), index.is_empty()) == (8, "l2", 200, False)
+        assert [r["id"] for r in index.search([(7, m[7])], 3).orderBy("rank").collect()][0] == 7
+
+
+def test_progress_survives_a_report_that_fails(spark):
+    def bad(_):
+        raise ValueError
+
+    with Progress(spark, bad) as live:
+        live.phase("x")
+        live.count(chunks=3)
+        assert live.look() | {"seconds": 0} == {"phase": "x", "chunks": 3, "tasks": 0, "tasks_done": 0, "seconds": 0}
