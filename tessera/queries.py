@@ -17,10 +17,13 @@ from .functions.embed import HashEmbedder, embed_column
 from .metric import Metric
 from .operators import hnsw, knn, stats
 from .operators.chunker import ChunkerConfig, chunk_documents
-from .operators.rows import drop_duplicates
+from .operators.rows import dense_numbers, drop_duplicates
+from .plans.index import ExactIndex, GraphIndex
 from .plans.ingest import IngestConfig, ingest_frame
 from .plans.scratch import scratch
-from .plans.store import Store, StoreConfig
+from .plans.store import OpenOptions, Store, StoreConfig
+from .sources.files import discover, read_files, write_files
+from .streaming.ingest import start_ingest
 
 DIM, K = 64, 10
 EMBEDDER = 256
@@ -166,6 +169,25 @@ def knn_batch(spark, sf_dir):
     return _exact(spark, sf_dir, "dot", 100)
 
 
+@query(_knn_sql("dot").replace("where rank <= 10", "where rank <= 10 and score >= 0.5"))
+def knn_threshold_topk(spark, sf_dir):
+    """Of the ten best, those that score at least 0.5."""
+    return _out(knn.above(knn.search_frame(_rows(spark, sf_dir, "dot"), _asked(spark, sf_dir), k=K, metric="dot", dim=DIM), 0.5))
+
+
+@query("select q.vec_id as query_id, count(*)::bigint as hits from embeddings q, embeddings e where q.vec_id % 50 = 0 group by q.vec_id")
+def knn_k_clamp(spark, sf_dir):
+    """More neighbours are asked for than there are rows: every row is a hit."""
+    store = _store(spark, sf_dir)
+    return store.search(_asked(spark, sf_dir), k=1_000_000_000, mode="exact").groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
+
+
+@query(_knn_sql("cosine"))
+def index_plugin(spark, sf_dir):
+    """Exact search through the interface that all indexes share."""
+    return _out(ExactIndex(_rows(spark, sf_dir, "cosine"), "cosine", DIM).search(_asked(spark, sf_dir), K))
+
+
 @query(_knn_sql("l2"))
 def knn_expressions(spark, sf_dir):
     """The defining expression form of search."""
@@ -233,9 +255,19 @@ def compact_preserves_results(spark, sf_dir):
     return _out(after).where(F.lit(same))
 
 
-@query("select (vec_id % 3)::int as ordinal, (vec_id % 3 + 1)::bigint as segment_id, count(*)::bigint as vectors, 'flat' as index, true as payload from embeddings group by all")
+@query("select (vec_id % 3)::int as ordinal, (vec_id % 3 + 1)::bigint as segment_id, count(*)::bigint as vectors, 'flat' as index, null::int as m, null::int as layers, true as sized, true as payload from embeddings group by all")
 def segment_info(spark, sf_dir):
-    return _store(spark, sf_dir, payload=True).snapshot().info().select("ordinal", "segment_id", "vectors", "index", "payload")
+    return _store(spark, sf_dir, payload=True).snapshot().info().select("ordinal", "segment_id", "vectors", "index", "m", "layers", (F.col("bytes") > F.col("vectors") * 4).alias("sized"), "payload")
+
+
+@query("select (vec_id // 100)::int as ordinal, count(*)::bigint as vectors, 'hnsw' as index, 16 as m, min(vec_id)::bigint as first, max(vec_id)::bigint as last from embeddings where vec_id < 100 * ((select max(vec_id) from embeddings) // 100 + 1) group by all")
+def bounded_segments(spark, sf_dir):
+    """One call publishes as many segments of 100 numbers as the rows need, each with its graph."""
+    store = Store.open_or_create(spark, scratch(spark, "store"), StoreConfig(DIM, "cosine", 0xFEED))
+    store.publish(_scaled(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("v").alias("vector")), params=hnsw.HnswParams(ef_construction=32), segment_rows=100, numbered=True)
+    snap = Store.open(spark, store.folder.root, OpenOptions(verify=True, cache=True)).snapshot()
+    found = snap.rows().groupBy("ordinal").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    return snap.info().join(found, "ordinal").select("ordinal", "vectors", "index", "m", "first", "last")
 
 
 @query("select 3 as segments, 3 as generation, count(*)::bigint as vectors from embeddings")
@@ -257,7 +289,7 @@ def store_verify(spark, sf_dir):
 def hnsw_search(spark, sf_dir):
     """Graph search over one segment per 8,192 ids."""
     rows = _rows(spark, sf_dir, "cosine").withColumn("segment_id", F.floor(F.col("id") / 8192)).withColumn("ordinal", F.col("segment_id").cast("int"))
-    graphs = hnsw.build_graphs(rows, "cosine", hnsw.HnswParams(ef_construction=100))
+    graphs = hnsw.build_graphs(rows, "cosine")
     return _out(hnsw.search_graphs(rows, graphs, _asked(spark, sf_dir), k=K, ef=64, metric="cosine", dim=DIM))
 
 
@@ -269,6 +301,15 @@ def hnsw_recall(spark, sf_dir):
     return knn.recall(found, truth, k=K).select("queries", "k", (F.col("recall") >= 0.95).alias("good"))
 
 
+@query()
+def hnsw_recall_value(spark, sf_dir):
+    """Recall at 10 of the graph index against the exact one, as a number."""
+    rows = _rows(spark, sf_dir, "cosine")
+    exact, graph = (x.search(_asked(spark, sf_dir), K) for x in (ExactIndex(rows, "cosine", DIM), GraphIndex(rows.withColumn("segment_id", F.floor(F.col("id") / 8192)), "cosine", DIM)))
+    place = F.floor(F.col("id") / 8192)
+    return knn.recall(graph.withColumn("segment_id", place), exact.withColumn("segment_id", place), k=K)
+
+
 @query("select count(*)::bigint as nodes, true as fine from embeddings")
 def hnsw_levels(spark, sf_dir):
     """Level 1 and above holds a share of 1 / m of the nodes, within four standard deviations."""
@@ -354,8 +395,66 @@ def snippet(spark, sf_dir):
 )
 def latency_percentiles(spark, sf_dir):
     """Nearest-rank percentiles and throughput of a latency column."""
-    qps = F.round(F.count("value") / F.sum("value"), 6)
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(stats.percentile("value", 50).alias("p50"), stats.percentile("value", 99).alias("p99"), F.count("value").alias("n"), qps.alias("qps"))
+    events = table(spark, sf_dir, "events")
+    ranks = stats.nearest_ranks(events, ["event_type"], "value", {"p50": 50, "p99": 99}, scratch(spark, "ranks"))
+    totals = events.groupBy("event_type").agg(F.count("value").alias("n"), F.round(F.count("value") / F.sum("value"), 6).alias("qps"))
+    return ranks.join(totals, "event_type").select("event_type", "p50", "p99", "n", "qps")
+
+
+@query("select quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.99) as p99, count(value)::bigint as n, round(count(value) / sum(value), 6) as qps from events")
+def latency_line(spark, sf_dir):
+    """The same over all events, as one line."""
+    return stats.latency_report(table(spark, sf_dir, "events"), "value", scratch(spark, "ranks")).withColumn("qps", F.round("qps", 6))
+
+
+@query(
+    f"with d as (select source, {_TOKENS} as tokens, strlen(text) as bytes from documents where text is not null), "
+    "r as (select source, sum(tokens) as tokens, count(*) as chunks, sum(bytes) as bytes, count(*) % 7 as seconds from d group by source) "
+    "select source, case when seconds > 0 then round(tokens / seconds::double, 6) else 0 end as tokens_per_sec, case when seconds > 0 then round(chunks / seconds::double, 6) else 0 end as chunks_per_sec, "
+    "case when seconds > 0 then round(bytes / 1048576.0::double / seconds, 6) else 0 end as mib_per_sec, case when chunks > 0 then round(bytes / 1000.0::double / chunks, 6) else 0 end as micros_per_vector from r"
+)
+def report_rates(spark, sf_dir):
+    """Rates of a run report per source; none where no time has passed."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    n = F.count(F.lit(1))
+    report = d.groupBy("source").agg(F.sum(T.estimate_tokens("text")).alias("tokens"), n.alias("chunks"), F.sum(F.octet_length("text")).alias("bytes"), (n % 7).cast("double").alias("seconds"), n.alias("embedded"), F.sum(F.octet_length("text")).alias("embed_nanos"))
+    rated = stats.with_rates(report)
+    return rated.select("source", *[F.round(c, 6).alias(c) for c in ("tokens_per_sec", "chunks_per_sec", "mib_per_sec", "micros_per_vector")])
+
+
+@query("select doc_id, row_number() over (order by source nulls first, doc_id) - 1 as seq from documents")
+def dense_numbering(spark, sf_dir):
+    """All rows numbered in order over the whole table."""
+    return dense_numbers(table(spark, sf_dir, "documents").select("doc_id", "source"), ["source", "doc_id"], "seq", scratch(spark, "numbers")).select("doc_id", "seq")
+
+
+_LINES = r"l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents where text is not null)"
+
+
+@query(rf"with {_LINES} select doc_id, count(*)::bigint as lines, count(*) filter (where regexp_matches(line, '^[ \t\n\f\r]*$'))::bigint as blank, count(*) filter (where regexp_matches(line, '^ {{0,3}}#{{1,6}}([ \t].*)?$'))::bigint as headings from l group by doc_id")
+def line_kinds(spark, sf_dir):
+    """Blank and heading lines of every whole text."""
+    lines = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(T.is_blank("line")).alias("blank"), F.count_if(T.heading("line").isNotNull()).alias("headings"))
+
+
+@query(
+    "select doc_id, case when n_chars < 1024 then n_chars || ' B' when n_chars < 1048576 then printf('%.1f KiB', n_chars / 1024.0::double) else printf('%.1f MiB', n_chars / 1048576.0::double) end as bytes, "
+    "case when n < 1000 then printf('%.0f ns', n) when n < 1e6 then printf('%.1f µs', n / 1e3) when n < 1e9 then printf('%.2f ms', n / 1e6) else printf('%.2f s', n / 1e9) end as duration, "
+    "format('{:,}', n_chars::bigint) as count from (select doc_id, n_chars, (n_chars::double * n_chars * n_chars + doc_id) as n from documents where n_chars is not null)"
+)
+def console_formats(spark, sf_dir):
+    """Sizes, durations and counts as the console prints them."""
+    n = F.col("n_chars").cast("double") * F.col("n_chars") * F.col("n_chars") + F.col("doc_id")
+    return table(spark, sf_dir, "documents").where("n_chars is not null").select("doc_id", T.format_bytes("n_chars").alias("bytes"), T.format_duration(n).alias("duration"), T.format_count("n_chars").alias("count"))
+
+
+@query("select vec_id, 64 as used, list_sum(list_transform(p, lambda x: x::double))::double as total, len(p)::bigint as stride from (select vec_id, list_concat(embedding[1:50], list_transform(range(14), lambda x: 0.0::float)) as p from embeddings)")
+def padded_rows(spark, sf_dir):
+    """Rows of 50 components padded with zeros to 64."""
+    padded = V.pad(F.slice("embedding", 1, 50))
+    total = F.aggregate(padded, F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.lit(64).alias("used"), total.alias("total"), F.size(padded).cast("long").alias("stride"))
 
 
 # -- chunks, embeddings, ingest ------------------------------------------------------
@@ -379,6 +478,24 @@ def chunk_coverage(spark, sf_dir):
     return _chunked(spark, sf_dir).select("doc_id", F.sha2(F.regexp_replace(joined, r"\s+", ""), 256).alias("letters_sha256"))
 
 
+@query("select doc_id, sha256(regexp_replace(text, '\\s+', '', 'g')) as letters_sha256 from documents")
+def chunk_markdown_coverage(spark, sf_dir):
+    """The same with headings and fences told apart."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit("markdown").alias("kind"))
+    joined = F.concat_ws("", F.transform("chunks", lambda c: c["text"]))
+    return chunk_documents(docs, kind="kind").select("doc_id", F.sha2(F.regexp_replace(joined, r"\s+", ""), 256).alias("letters_sha256"))
+
+
+@query("select doc_id, [source, lang] as headings, ['mixed', 'prose'] as kinds, ['# ' || source || chr(10) || chr(10) || 'About ' || doc_id || '.' || chr(10) || chr(10) || '```' || chr(10) || '# no heading ' || doc_id || chr(10) || '```', '## ' || lang || ' ##' || chr(10) || chr(10) || 'End of ' || doc_id || '.'] as texts from documents where source is not null and lang is not null")
+def chunk_structure(spark, sf_dir):
+    """Headings start chunks, and a fence hides what looks like one."""
+    i = F.col("doc_id").cast("string")
+    page = F.concat(F.lit("# "), "source", F.lit("\n\nAbout "), i, F.lit(".\n\n```\n# no heading "), i, F.lit("\n```\n\n   \n## "), "lang", F.lit(" ##\n\nEnd of "), i, F.lit(".\n"))
+    docs = table(spark, sf_dir, "documents").where("source is not null and lang is not null").select("doc_id", page.alias("text"), F.lit("markdown").alias("kind"))
+    each = lambda field: F.transform("chunks", lambda c: c[field])
+    return chunk_documents(docs, kind="kind").select("doc_id", each("heading").alias("headings"), each("kind").alias("kinds"), each("text").alias("texts"))
+
+
 @query()
 def hash_embed_documents(spark, sf_dir):
     """Unit vectors of all documents by feature hashing: squared norm and largest component."""
@@ -393,8 +510,9 @@ def semantic_search_documents(spark, sf_dir):
     e = HashEmbedder(EMBEDDER)
     docs = embed_column(table(spark, sf_dir, "documents").select("doc_id", "text"), e, "text", rows=256)
     rows = knn.stored_rows(docs, id_col="doc_id", vector_col="vector", metric="cosine", dim=EMBEDDER)
-    asked = [(r["item_id"], v) for r in [table(spark, sf_dir, "benchmark").select("item_id", "text").collect()] for r, v in zip(r, e.embed_batch([x["text"] or "" for x in r]))]
-    return _out(knn.search(rows, asked, k=5, metric="cosine", dim=EMBEDDER))
+    passages = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    asked = embed_column(passages, e, "text").select(F.col("item_id").alias("query_id"), F.col("vector").alias("query"))
+    return _out(knn.search_frame(rows, asked, k=5, metric="cosine", dim=EMBEDDER))
 
 
 @query("select 64 as dim, 'abf7fdd7bc6467b0' as fingerprint union all select 256, '1775384c69285616' union all select 384, '19ef65a0f8864079'")
@@ -412,7 +530,83 @@ def ingest_report(spark, sf_dir):
     """All documents as files: chunked, deduplicated, embedded and published."""
     e = HashEmbedder(64)
     store = Store.open_or_create(spark, scratch(spark, "ingest"), StoreConfig(64, "cosine", e.fingerprint))
-    files = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.lit("text").alias("kind"), F.octet_length("text").cast("long").alias("n_bytes"), "text")
-    r = ingest_frame(store, files, e, _plain())
+    r = ingest_frame(store, _as_files(spark, sf_dir), e, _plain())
     assert r["written"] == r["chunks"] - r["duplicates"] == len(store.snapshot())
     return spark.createDataFrame([(r["files_total"], r["files_done"], r["files_skipped"], r["bytes"], r["generation"])], "files_total long, files_done long, files_skipped long, bytes long, generation int")
+
+
+_WHOLE = rf"d as (select doc_id, text, strlen(text) as bytes, regexp_replace(text, '\s+$', '') as chunk from documents), c as (select chunk as text from d where regexp_matches(chunk, '\S')), t as (select {_TOKENS} as tokens from c)"
+
+
+@query(
+    f"with {_WHOLE} select (select count(*) from d)::bigint as files_total, (select count(text) from d)::bigint as files_done, 0::bigint as files_skipped, (select sum(bytes) from d)::bigint as bytes, (select count(*) from c)::bigint as chunks, (select sum(tokens) from t)::bigint as tokens, "
+    "(select count(*) - count(distinct text) from c)::bigint as duplicates, (select count(distinct text) from c)::bigint as embedded, (select count(distinct text) from c)::bigint as written, 1 as generation, true as timed"
+)
+def ingest_counters(spark, sf_dir):
+    """All counters of a run whose chunks are whole documents."""
+    e = HashEmbedder(64)
+    store = Store.open_or_create(spark, scratch(spark, "ingest"), StoreConfig(64, "cosine", e.fingerprint))
+    r = ingest_frame(store, _as_files(spark, sf_dir), e, IngestConfig(ChunkerConfig(1 << 40, 1 << 40), graph=None))
+    names = "files_total files_done files_skipped bytes chunks tokens duplicates embedded written".split()
+    row = (*[r[n] for n in names], r["generation"], r["embed_nanos"] > 0 and r["seconds"] > 0)
+    return spark.createDataFrame([row], ", ".join(f"{n} long" for n in names) + ", generation int, timed boolean")
+
+
+def _as_files(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.lit("text").alias("kind"), F.octet_length("text").cast("long").alias("n_bytes"), "text")
+
+
+@query(
+    "with f as (select 's-' || coalesce(source, '') || '/' || case when doc_id % 10 = 3 then '.hidden/' when doc_id % 10 = 4 then 'target/' else '' end || doc_id || case when doc_id % 10 = 5 then '.png' else '.txt' end as path, coalesce(text, '') as text, doc_id from documents where doc_id is not null) "
+    "select path, strlen(text)::bigint as n_bytes, sha256(text) as text_sha256, (row_number() over (order by string_split(path, '/')) - 1)::bigint as place from f where doc_id % 10 not in (3, 4, 5)"
+)
+def file_discovery(spark, sf_dir):
+    """Documents written as files, found again and read: hidden and skipped folders
+    and other kinds are left out, paths come in order of their parts."""
+    root, found = _written(spark, sf_dir)
+    rows = read_files(spark, found)
+    path = F.expr(f"substring(path, {len(root) + 2})")
+    place = spark.createDataFrame([(p[len(root) + 1 :], k) for k, (p, _) in enumerate(found.files)], "path string, place long")
+    return rows.select(path.alias("path"), "n_bytes", F.sha2("text", 256).alias("text_sha256")).join(place, "path")
+
+
+def _written(spark, sf_dir):
+    i, special = F.col("doc_id"), F.col("doc_id") % 10
+    path = F.concat(F.lit("s-"), F.coalesce("source", F.lit("")), F.lit("/"), F.when(special == 3, ".hidden/").when(special == 4, "target/").otherwise(""), i.cast("string"), F.when(special == 5, ".png").otherwise(".txt"))
+    root = scratch(spark, "files").removeprefix("file://")
+    write_files(table(spark, sf_dir, "documents").where("doc_id is not null").select(path.alias("path"), F.coalesce("text", F.lit("")).alias("text")), root)
+    return root, discover([root])
+
+
+@query(
+    "with f as (select coalesce(text, '') as text from documents where doc_id % 10 not in (3, 4, 5)), c as (select regexp_replace(text, '\\s+$', '') as chunk from f where regexp_matches(text, '\\S')) "
+    "select (select count(*) from f)::bigint as files_total, (select count(*) from f)::bigint as files_done, 0::bigint as files_skipped, (select sum(strlen(text)) from f)::bigint as bytes, (select count(*) from c)::bigint as chunks, (select count(distinct chunk) from c)::bigint as vectors, (select count(distinct chunk) from c)::bigint as found"
+)
+def ingest_files_e2e(spark, sf_dir):
+    """Files to a store to answers: every stored chunk is the nearest one to its own text."""
+    _, found = _written(spark, sf_dir)
+    e = HashEmbedder(128)
+    store = Store.open_or_create(spark, scratch(spark, "ingest"), StoreConfig(128, "cosine", e.fingerprint))
+    files = read_files(spark, found)
+    r = ingest_frame(store, files, e, IngestConfig(ChunkerConfig(1 << 40, 1 << 40), graph=None))
+    stored = store.snapshot().rows()
+    asked = stored.select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    hits = store.search(asked, k=1, mode="exact")
+    # Other texts may have the same vector; none is nearer.
+    n = hits.where("round(score, 5) = 1").count()
+    names = "files_total files_done files_skipped bytes chunks".split()
+    return spark.createDataFrame([(*[r[x] for x in names], len(store.snapshot()), n)], ", ".join(f"{x} long" for x in names) + ", vectors long, found long")
+
+
+@query("with c as (select regexp_replace(text, '\\s+$', '') as chunk from documents where regexp_matches(text, '\\S')) select sha256(chunk) as text_sha256 from c group by chunk")
+def streaming_dedup(spark, sf_dir):
+    """Documents that arrive in many micro-batches: each text is stored once over all of them."""
+    e = HashEmbedder(16)
+    store = Store.open_or_create(spark, scratch(spark, "ingest"), StoreConfig(16, "cosine", e.fingerprint))
+    source, marks = scratch(spark, "arrivals"), scratch(spark, "marks")
+    files = _as_files(spark, sf_dir)
+    files.repartition(3).write.parquet(source)
+    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    start_ingest(stream, store, e, marks, IngestConfig(ChunkerConfig(1 << 40, 1 << 40), graph=None)).awaitTermination()
+    rows = store.reload().snapshot().rows()
+    return rows.select(F.sha2(T.decode_payload("payload")["text"], 256).alias("text_sha256"))
