@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError
+from ..metric import Metric
 from .hashing import finalize, hash_bytes, hash_ranges, reduce_range, rotate
+from .vector import stored_form
 
 # Words that the hashing embedder leaves out.
 STOPWORDS = frozenset(
@@ -114,18 +116,26 @@ class HashEmbedder(Embedder):
 FINGERPRINT_NAME = b"hash-embedder-v1"
 
 
-def embed_column(df: DataFrame, embedder: Embedder, text: str, vector: str = "vector", *, rows: int = 64) -> DataFrame:
-    """``df`` with the vectors of a text column, made in Arrow batches of ``rows``."""
-    at = df.columns.index(text)
-    dim = embedder.dim
+def embed_column(df: DataFrame, embedder: Embedder, text: str | list[str], vector: str = "vector", *, rows: int = 64, metric: str | Metric | None = None) -> DataFrame:
+    """``df`` with the vectors of a text column, or of several one after the other,
+    made in Arrow batches of ``rows``. With ``metric`` they are given as a store of
+    that metric holds them, and a vector that it could not hold is an error."""
+    at = [df.columns.index(t) for t in ([text] if isinstance(text, str) else text)]
+    dim, unit = embedder.dim, metric is not None and Metric.parse(metric).normalizes
 
     def run(stream):
         for batch in stream:
             for lo in range(0, batch.num_rows, rows):
                 part = batch.slice(lo, rows)
-                m = np.ascontiguousarray(embedder.embed_batch([t or "" for t in part.column(at).to_pylist()]), np.float32)
+                texts = ["".join(x or "" for x in row) for row in zip(*[part.column(c).to_pylist() for c in at])]
+                m = np.ascontiguousarray(embedder.embed_batch(texts), np.float32)
                 if m.shape != (part.num_rows, dim):
                     raise ValueError(f"embedder {embedder.name} gave {m.shape}, not {(part.num_rows, dim)}")
+                if metric is not None:
+                    m, said = stored_form(m.astype(np.float64), unit)
+                    bad = np.flatnonzero(~np.equal(said, None))
+                    if len(bad):
+                        raise ValueError(f"embedder {embedder.name} gave a vector that cannot be stored: {said[bad[0]]}")
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, dim, dtype=np.int32)), pa.array(m.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, vector])
 

@@ -71,13 +71,17 @@ def file_name(path) -> Column:
     return F.regexp_extract(_col(path), r"([^/\\]*)$", 1)
 
 
+def context(path, heading, text) -> Column:
+    """What stands before a chunk when it is embedded: its file's name and heading. A
+    chunk that starts with its own heading line is not given it twice."""
+    heading = _col(heading)
+    named = F.concat(file_name(path), F.lit(" › "), heading, F.lit("\n"))
+    return F.when(heading.isNotNull() & (heading != "") & ~_col(text).startswith("#"), named).otherwise(F.concat(file_name(path), F.lit("\n")))
+
+
 def contextual_text(path, heading, text) -> Column:
-    """What is embedded for a chunk: its file's name and heading before the text.
-    A chunk that starts with its own heading line is not given it twice."""
-    heading, text = _col(heading), _col(text)
-    plain = F.concat(file_name(path), F.lit("\n"), text)
-    named = F.concat(file_name(path), F.lit(" › "), heading, F.lit("\n"), text)
-    return F.when(heading.isNotNull() & (heading != "") & ~text.startswith("#"), named).otherwise(plain)
+    """What is embedded for a chunk: its context, then its text."""
+    return F.concat(context(path, heading, text), _col(text))
 
 
 def snippet(text, n: int = 160) -> Column:

@@ -6,7 +6,9 @@ operators.knn). Arrays of different lengths give null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..metric import Metric
@@ -93,6 +95,46 @@ def problem(a, dim: int, metric: str | Metric) -> Column:
     return out.when(~has_length(a), "zero_norm") if Metric.parse(metric).normalizes else out
 
 
+def stored_form(m: np.ndarray, unit: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A float64 matrix as it is stored (rows of unit length if ``unit``, single
+    precision), and what is wrong with each row: null, 'not_finite' or 'zero_norm'."""
+    said = np.full(len(m), None, object)
+    with np.errstate(all="ignore"):
+        fine = np.isfinite(m).all(axis=1)
+        if unit:
+            n = np.einsum("ij,ij->i", m, m)
+            said[~((n > TINY) & (n <= 3.4028234663852886e38))] = "zero_norm"
+            m = m / np.sqrt(n)[:, None]
+        m = m.astype(np.float32)
+    said[~fine | np.equal(said, None) & ~np.isfinite(m).all(axis=1)] = "not_finite"
+    return m, said
+
+
+def prepared(df: DataFrame, vector: str, dim: int, metric: str | Metric, problem_name: str) -> DataFrame:
+    """``df`` with its vectors as they are stored (``normalize`` for cosine; null for
+    rows that cannot be) and a column that says what is wrong with a row
+    (``problem``), in Arrow batches: the same as the expressions, which are worked
+    out for each component by itself."""
+    unit, at = Metric.parse(metric).normalizes, df.columns.index(vector)
+
+    def run(stream):
+        for batch in stream:
+            column = batch.column(at).cast(pa.list_(pa.float64()))
+            whole = np.asarray(column.value_lengths().fill_null(-1)) == dim
+            m, told = stored_form(np.asarray(column.filter(pa.array(whole)).flatten().fill_null(float("nan")), np.float64).reshape(-1, dim), unit)
+            said = np.full(batch.num_rows, "dimension", object)
+            said[whole] = told
+            good = np.equal(said, None)
+            ends = np.concatenate(([0], np.cumsum(good) * dim)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(m[good[whole]].reshape(-1)), mask=pa.array(~good))
+            columns = [*batch.columns, pa.array(said.tolist(), pa.string())]
+            columns[at] = lists
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, problem_name])
+
+    schema = df.withColumn(vector, F.expr("cast(null as array<float>)")).withColumn(problem_name, F.lit(None).cast("string")).schema
+    return df.mapInArrow(run, schema)
+
+
 def padded_stride(dim) -> Column:
     """Components of a row padded to whole lanes."""
     d = _col(dim) if isinstance(dim, (str, Column)) else F.lit(dim)

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import ConfigError, Incompatible
+from ..errors import ConfigError, Incompatible, IngestError
 from ..functions import text as T
 from ..functions.embed import Embedder, embed_column
 from ..operators.chunker import ChunkerConfig, chunk_documents
@@ -51,7 +51,7 @@ def chunk_rows(files: DataFrame, config: ChunkerConfig) -> DataFrame:
     made = chunk_documents(files.where("text is not null").select("path", "kind", "text"), config=config)
     each = made.select("path", F.size("chunks").cast("long").alias("many"), F.posexplode("chunks").alias("pos", "c"))
     return each.select(
-        "path", "pos", "many", F.col("c.text").alias("text"), F.col("c.start").alias("begin"), F.col("c.end").alias("end"), F.col("c.heading").alias("heading"), F.col("c.kind").alias("kind"), F.sha2("c.text", 256).alias("digest"), T.estimate_tokens("c.text").alias("tokens")
+        "path", "pos", "many", F.col("c.text").alias("text"), F.col("c.start").alias("begin"), F.col("c.end").alias("end"), F.col("c.heading").alias("heading"), F.col("c.kind").alias("kind"), F.sha2("c.text", 256).alias("digest"), F.col("c.tokens").alias("tokens")
     )
 
 
@@ -69,7 +69,9 @@ def ingest_frame(
 ) -> dict:
     """Publish the chunks of (path, kind, n_bytes, text); returns the report. A path
     stands for one file. With ``batch`` (source, number), texts that an earlier
-    batch of the source has brought are duplicates too. ``tell`` gets live reports."""
+    batch of the source has brought are duplicates too. ``tell`` gets live reports.
+    Vectors are made in the job that writes them, so ``embed_nanos`` is the time of
+    both."""
     if embedder.fingerprint != store.config.fingerprint or embedder.dim != store.config.dim:
         raise Incompatible("the embedder is not the one that the store was made with")
     began = time.time()
@@ -87,7 +89,7 @@ def ingest_frame(
             chunks, tokens = made.agg(F.count(F.lit(1)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
             report = {"files_total": totals[0], "files_skipped": totals[0] - totals[1], "files_done": totals[1], "bytes": totals[2], "chunks": chunks, "tokens": tokens}
             live.count(**report)
-            live.phase("embed")
+            live.phase("embed and publish")
             kept = numbered_chunks(made, at("paths"))
             if config.dedup:
                 firsts = kept.groupBy("digest").agg(F.min("seq").alias("seq"))
@@ -95,21 +97,23 @@ def ingest_frame(
                     # Numbers of later batches are those of a batch that is delivered again.
                     firsts = firsts.join(spark.read.parquet(folder.at(seen)).where(F.col("batch") < batch[1]).select("digest"), "digest", "left_anti")
                 kept = kept.join(firsts.select("seq"), "seq", "left_semi")
-            full = kept.select("seq", "digest", T.payload("path", "begin", "end", "heading", "text").alias("payload"), T.contextual_text("path", "heading", "text").alias("given"))
-            start = time.time()
-            rows = embed_column(full, embedder, "given", rows=config.batch).select(F.col("seq").alias("id"), "vector", "payload", "digest")
-            rows.write.parquet(at("vectors"))
-            spent = time.time() - start
-            vectors = spark.read.parquet(at("vectors"))
-            n = vectors.count()
-            report |= {"duplicates": chunks - n, "embedded": n, "embed_nanos": int(spent * 1e9)}
+            n = firsts.count() if config.dedup else chunks
+            report |= {"duplicates": chunks - n}
             live.count(**report)
-            live.phase("publish")
+            # The text goes to the embedder and back once; name, heading and place are put before it on either side.
+            full = kept.select(F.col("seq").alias("id"), T.context("path", "heading", "text").alias("before"), T.payload("path", "begin", "end", "heading", F.lit("")).alias("head"), "text")
+            rows = embed_column(full, embedder, ["before", "text"], rows=config.batch, metric=store.config.metric)
+            rows = rows.select("id", "vector", F.concat("head", "text").alias("payload"))
             if batch and config.dedup:
-                vectors.select("digest").write.mode("overwrite").parquet(folder.at(f"seen-{batch[0]}/batch={batch[1]}"))
+                firsts.select("digest").write.mode("overwrite").parquet(folder.at(f"seen-{batch[0]}/batch={batch[1]}"))
+            start = time.time()
             if n:
-                store.publish(vectors.drop("digest"), params=config.graph, fingerprint=embedder.fingerprint, batch=batch, segment_rows=config.segment_rows, numbered=True)
-            report |= {"written": n}
+                # Vectors are made, shuffled to their segments and written in one job.
+                made = store.publish(rows, params=config.graph, fingerprint=embedder.fingerprint, batch=batch, segment_rows=config.segment_rows, numbered=True, prepared=True)
+                if made["rows"] != n:
+                    raise IngestError(f"{made['rows']} of {n} chunks were written")
+                report |= {"embed_nanos": int(made["write_seconds"] * 1e9)}
+            report |= {"embedded": n, "written": n, "embed_nanos": report.get("embed_nanos", int((time.time() - start) * 1e9))}
             live.count(**report)
             live.phase("done")
     finally:

@@ -120,9 +120,8 @@ class Segment:
     rows: int
     bytes: int
     has_payload: bool
-    graph: dict | None  # m, m0, layers, digest
-    files: dict  # part file -> length
-    digest: str  # of all bytes of the part files
+    graph: dict | None  # m, m0, layers, files
+    files: dict  # part file -> [length, digest of its bytes]
 
 
 @dataclass(frozen=True)
@@ -138,6 +137,8 @@ class OpenOptions:
 
 #: Columns of a segment and of a graph.
 ROWS = "row long, id long, vector array<float>, payload string"
+#: Components hardly repeat, so a dictionary of them only costs.
+PLAIN = {"parquet.enable.dictionary#vector.list.element": "false"}
 GRAPH = "node int, layer int, neighbors array<int>"
 
 
@@ -215,14 +216,15 @@ class Snapshot:
         if not self.segments:
             return
         graphs = [s for s in self.segments if s.graph]
-        for s in self.segments:
-            if self.folder.sizes(s.name) != s.files:
-                raise Corrupt(f"{s.name} has other files than its manifest says")
-        for want, made, part in ((lambda s: s.digest, self.segments, ""), (lambda s: s.graph["digest"], graphs, ".graph")):
-            found = _digests(self.folder, [s.name + part for s in made])
-            for s in made:
-                if found.get(s.id) != want(s):
-                    raise Corrupt(f"{s.name}{part} differs from its manifest")
+        kept = {s.name: s.files for s in self.segments} | {s.name + ".graph": s.graph["files"] for s in graphs}
+        lengths = lambda files: {k: v[0] for k, v in files.items()}
+        for name, files in kept.items():
+            if self.folder.sizes(name) != lengths(files):
+                raise Corrupt(f"{name} has other files than its manifest says")
+        found = _files(self.folder, list(kept))
+        for name, files in kept.items():
+            if found[name] != files:
+                raise Corrupt(f"{name} differs from its manifest")
         for made, part, schema in ((self.segments, "", ROWS), (graphs, ".graph", GRAPH)):
             if made:
                 stored = self.folder.spark.read.option("mergeSchema", "true").parquet(*[self.folder.at(s.name + part) for s in made])
@@ -230,18 +232,23 @@ class Snapshot:
                     raise Corrupt(f"a part file has the columns {stored.dtypes}")
 
 
-def _digests(folder: Folder, names: list[str]) -> dict[int, str]:
-    """Segment number -> digest of all bytes of its part files. Files are read by
-    the text source, cut at line feeds: splits of any file are read in parallel, and
-    no task holds a file. One row per segment comes back."""
+def _digests(folder: Folder, names: list[str]) -> dict[str, str]:
+    """Part file -> digest of all its bytes. Files are read by the text source, cut
+    at line feeds: splits of any file are read in parallel, and no task holds a
+    file. One row per part file comes back; Spark gives each a name of its own."""
     if not names:
         return {}
     lines = folder.spark.read.option("lineSep", "\n").text([folder.at(n) for n in names])
-    path = F.col("_metadata.file_path")
-    whole = F.xxhash64(F.regexp_extract(path, r"([^/]+)$", 1), F.col("value").cast("binary"))
+    whole = F.xxhash64(F.col("value").cast("binary"))
     # Neither depends on the order of lines; the sum tells lines that occur twice.
     digest = F.concat_ws("-", F.count(F.lit(1)).cast("string"), F.hex(F.bit_xor(whole)), F.hex(F.sum(F.shiftrightunsigned(whole, 24))))
-    return {r[0]: r[1] for r in lines.groupBy(F.regexp_extract(path, r"/seg-(\d+)", 1).cast("long")).agg(digest).collect()}
+    return {r[0]: r[1] for r in lines.groupBy("_metadata.file_name").agg(digest).collect()}
+
+
+def _files(folder: Folder, names: list[str]) -> dict[str, dict]:
+    """Table -> its part files with their lengths and digests."""
+    digests = _digests(folder, names)
+    return {name: {k: [n, digests.get(k)] for k, n in folder.sizes(name).items()} for name in names}
 
 
 class Store:
@@ -314,11 +321,13 @@ class Store:
         """For a lock whose writer has died."""
         self.folder.delete(LOCK)
 
-    def publish(self, df: DataFrame, *, order: list | None = None, params: hnsw.HnswParams | None = None, fingerprint: int | None = None, batch: tuple[str, int] | None = None, segment_rows: int | None = None, numbered: bool = False) -> dict:
+    def publish(self, df: DataFrame, *, order: list | None = None, params: hnsw.HnswParams | None = None, fingerprint: int | None = None, batch: tuple[str, int] | None = None, segment_rows: int | None = None, numbered: bool = False, prepared: bool = False) -> dict:
         """Add rows (id, vector, payload), numbered by ``order``, as one segment or as
         segments of ``segment_rows`` rows each. If the ids are ``numbered`` from 0, in
         order, each once and with few gaps, a segment takes ``segment_rows`` ids, and
-        no sort of all rows is needed. Bad rows fail the whole call. Returns a report."""
+        no sort of all rows is needed. Bad rows fail the whole call; rows that are
+        ``prepared`` are as a segment holds them and only checked for missing vectors.
+        Returns a report."""
         if fingerprint is not None and fingerprint != self.config.fingerprint:
             raise Incompatible("vectors of another model")
         if segment_rows is not None and segment_rows <= 0 or numbered and not segment_rows:
@@ -326,47 +335,54 @@ class Store:
         if "payload" not in df.columns:
             df = df.withColumn("payload", F.lit(None).cast("string"))
         c = self.config
-        vector = V.normalize("vector") if Metric.parse(c.metric).normalizes else F.col("vector").cast("array<float>")
-        ready = df.withColumn("_problem", V.problem("vector", c.dim, c.metric)).withColumn("vector", vector)
+        ready = df if prepared else V.prepared(df, "vector", c.dim, c.metric, "_problem")
         with self.writer():
             return self._write(ready, order or ["id"], params, lambda segments, new: [*segments, *new], batch, segment_rows, numbered)
 
     def _write(self, ready: DataFrame, order: list, params, arrange, batch=None, segment_rows: int | None = None, numbered: bool = False) -> dict:
         """Rows are checked, counted and stored with their numbers, a folder for each
         segment: numbered by one sort of all rows, or by id inside each segment."""
-        body, folder = self._body, self.folder
+        body, folder, source = self._body, self.folder, ready
         first, aside = body["next_segment"], f".rows-{uuid.uuid4().hex}"
         names: list[str] = []
         began = time.time()
         try:
-            problem = F.col("_problem") if "_problem" in ready.columns else F.lit(None).cast("string")
-            measures = {"payloads": F.count("payload"), "bad": F.min(F.when(problem.isNotNull(), F.struct("id", problem.alias("problem"))))}
+            # A row that cannot be stored has no vector here.
+            measures = {"payloads": F.count("payload"), "bad": F.min(F.when(F.col("vector").isNull(), F.col("id"))), "lost": F.count_if(F.col("vector").isNull())}
             if numbered:
-                ready = ready.withColumn("part", F.floor(F.col("id") / segment_rows).cast("long"))
-                parts = ready.groupBy("part").agg(F.count(F.lit(1)).alias("_rows"), *[m.alias(k) for k, m in measures.items()]).orderBy("part").collect()
-                sizes = {p["part"]: p["_rows"] for p in parts}  # one number per segment
                 place = F.row_number().over(Window.partitionBy("part").orderBy("id")).cast("long") - 1
-                ready = ready.withColumn("row", place)
+                ready = ready.withColumn("part", F.floor(F.col("id") / segment_rows).cast("long")).withColumn("row", place)
+                # Written as it comes, counted and checked in what was written, so that rows are made once.
+                ready.select("part", "row", "id", "vector", "payload").write.options(**PLAIN).partitionBy("part").parquet(folder.at(aside + "/parts"))
+                made = folder.spark.read.schema(f"{ROWS}, part long").parquet(folder.at(aside + "/parts"))
+                parts = made.groupBy("part").agg(F.count(F.lit(1)).alias("_rows"), *[m.alias(k) for k, m in measures.items()]).orderBy("part").collect()
+                sizes = {p["part"]: p["_rows"] for p in parts}  # one number per segment
             else:
                 ready, parts = dense_numbers(ready, order, "row", folder.at(aside + "/sorted"), measures)
                 total = sum(p["_rows"] for p in parts)
                 many = segment_rows or max(1, total)
                 sizes = {k: min(many, total - k * many) for k in range(-(-total // many))}
                 ready = ready.withColumn("part", F.floor(F.col("row") / many).cast("long")).withColumn("row", F.col("row") % many)
-            for bad in (p["bad"] for p in parts if p["bad"]):
-                raise StoreError(f"row {bad['id']}: {bad['problem']}")
+            for p in parts:
+                if p["lost"]:
+                    said = "_problem" in source.columns and source.where(F.col("_problem").isNotNull() & F.col("id").eqNullSafe(F.lit(p["bad"]))).first()
+                    raise StoreError(f"row {p['bad']}: {said and said['_problem']}")
             rows, payloads = (sum(p[k] for p in parts) for k in ("_rows", "payloads"))
             if not rows:
                 raise StoreError("there is nothing to publish")
-            payload = F.coalesce("payload", F.lit("")) if payloads else F.col("payload")  # a segment with payloads has one for each row
-            ready.select("part", "row", "id", "vector", payload.alias("payload")).write.partitionBy("part").parquet(folder.at(aside + "/parts"))
+            if not numbered or 0 < payloads < rows:
+                if numbered:
+                    folder.move(aside + "/parts", aside + "/mixed")
+                    ready = folder.spark.read.schema(f"{ROWS}, part long").parquet(folder.at(aside + "/mixed"))
+                payload = F.coalesce("payload", F.lit("")) if payloads else F.col("payload")  # a segment with payloads has one for each row
+                ready.select("part", "row", "id", "vector", payload.alias("payload")).write.options(**PLAIN).partitionBy("part").parquet(folder.at(aside + "/parts"))
             numbers = {k: first + k for k in sizes}
             names = [f"seg-{n:010d}" for n in numbers.values()]
             for k, name in zip(numbers, names):
                 for leftover in (name, name + ".graph"):  # of a writer that died before its manifest
                     folder.delete(leftover)
                 folder.move(f"{aside}/parts/part={k}", name)
-            digests = _digests(folder, names)
+            stored = _files(folder, names)
             written = time.time()
             graphs: dict[int, dict] = {}
             if params is not None:
@@ -377,12 +393,12 @@ class Store:
                     folder.move(f"{aside}/graphs/part={n}", name + ".graph")
                 made = folder.spark.read.schema(GRAPH).parquet(*[folder.at(n + ".graph") for n in names]).where("node = -1")
                 heads = made.select(F.regexp_extract(F.col("_metadata.file_path"), r"/seg-(\d+)", 1).cast("long"), F.col("neighbors")[1]).collect()  # one row per segment
-                marks = _digests(folder, [n + ".graph" for n in names])
-                graphs = {n: {"m": params.m, "m0": params.m0, "layers": top + 1, "digest": marks[n]} for n, top in heads}
+                drawn = _files(folder, [n + ".graph" for n in names])
+                graphs = {n: {"m": params.m, "m0": params.m0, "layers": top + 1, "files": drawn[f"seg-{n:010d}.graph"]} for n, top in heads}
             new = []
             for k, name in zip(numbers, names):
-                files = folder.sizes(name)
-                new.append(Segment(numbers[k], name, sizes[k], sum(files.values()), bool(payloads), graphs.get(numbers[k]), files, digests[numbers[k]]))
+                files = stored[name]
+                new.append(Segment(numbers[k], name, sizes[k], sum(n for n, _ in files.values()), bool(payloads), graphs.get(numbers[k]), files))
             fresh = {**body, "generation": body["generation"] + 1, "next_segment": max(numbers.values()) + 1, "segments": arrange(body["segments"], [asdict(s) for s in new])}
             if batch:
                 fresh["batches"] = {**body["batches"], batch[0]: batch[1]}

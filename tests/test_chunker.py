@@ -76,3 +76,9 @@ def test_documents(spark):
     df = spark.createDataFrame([(1, "# H\n\nbody", "markdown"), (2, None, "text"), (3, "x", None)], "id long, text string, kind string")
     got = {r["id"]: r["chunks"] for r in C.chunk_documents(df).collect()}
     assert got[1][0]["heading"] == "H" and got[2] == [] and got[3][0]["text"] == "x"
+
+
+def test_token_counts_of_many_texts():
+    texts = ["", "one", "a longer_word, and more", "seven77 é漢字! ?", " \t\n\x0b", "", "x" * 13 + "-" + "y" * 6, "end"]
+    assert C.token_counts([t.encode() for t in texts]).tolist() == [C.estimate_tokens(t) for t in texts]
+    assert C.token_counts([]).tolist() == [] and C.token_counts([b"", b""]).tolist() == [0, 0]

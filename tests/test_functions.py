@@ -116,3 +116,16 @@ def test_entry_imports_without_the_removable_parts(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'knn_exact_cosine' in q and not any(x.startswith('op') or x == 'pipeline' for x in q); assert set(e.oracle_sql()) <= set(q)"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_prepared_rows_equal_the_expressions(spark, metric):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [3.0, 4.0]), (1, None), (2, []), (3, [1.0]), (4, [nan, 1.0]), (5, [1.0, inf]), (6, [0.0, 0.0]), (7, [1e-30, 0.0]), (8, [1e20, 0.0]), (9, [None, 1.0]), (10, [0.1, -0.7]), (11, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "id long, vector array<float>").repartition(3)
+    made = {r["id"]: r for r in V.prepared(df, "vector", 2, metric, "why").collect()}
+    told = df.select("id", V.problem("vector", 2, metric).alias("why"), (V.normalize("vector") if metric == "cosine" else F.col("vector")).alias("vector")).collect()
+    for r in told:
+        assert made[r["id"]]["why"] == r["why"]
+        assert made[r["id"]]["vector"] == (None if r["why"] else r["vector"])
+    assert V.prepared(df.limit(0), "vector", 2, metric, "why").collect() == []
