@@ -223,11 +223,12 @@ class _Pieces(dict):
         return value
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
 def _encoder(shared) -> Encoder:
-    """One encoder per broadcast and worker process."""
+    """One encoder per worker process, kept for as long as the same tables are
+    asked for: a later job finds it, whatever broadcast brings them."""
     if shared.id not in _encoders:
         _encoders.clear()
         _encoders[shared.id] = Encoder(shared.value)
@@ -235,11 +236,11 @@ def _encoder(shared) -> Encoder:
 
 
 class _Shared:
-    """A broadcast with its number, which names the encoder kept by a worker."""
+    """A broadcast of tables with a digest of them."""
 
     def __init__(self, sc, tables):
         self.broadcast = sc.broadcast(tables)
-        self.id = f"{sc.applicationId}/{self.broadcast._jbroadcast.id()}"
+        self.id = hashlib.sha256(repr((tables.tokens, tables.ids, tables.pairs, tables.added)).encode()).hexdigest()
 
     def __getstate__(self):
         return (self.broadcast, self.id)
