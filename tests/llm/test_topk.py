@@ -41,3 +41,11 @@ def test_empty_and_no_queries(spark):
     assert topk.exact_topk(spark.createDataFrame([], schema)).collect() == []
     assert topk.exact_topk(spark.createDataFrame([(1, [1.0])], schema)).collect() == []
     assert topk.exact_topk(spark.createDataFrame([(50, [1.0])], schema)).collect() == []
+
+
+def test_rows_repeated_with_one_id(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (3, [1.0, 1.0]), (3, [1.0, 1.0]), (4, [0.5, 2.0]), (4, [9.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    # Asked once, with the smaller vector; each row of another id is a candidate, none of its own.
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.exact_topk(df).collect())
+    assert got == [(50, 1, 4, 131072), (50, 2, 3, 65536), (50, 3, 3, 65536), (50, 4, 4, 0)]
