@@ -48,6 +48,8 @@ SHINGLE = 5
 SIMILARITY = 80
 K = 64
 RUN = 3
+#: Probability that a pair at the threshold shares fewer runs than are counted on.
+LOSS = 5e-9
 #: Standard deviations that the union sketch's estimate may fall short by.
 MARGIN = 6.0
 #: Classes and shingles in a block, and shingles of the small families in one task.
@@ -234,9 +236,70 @@ def shortest_runs(percent: int, k: int) -> dict[int, int]:
     return out
 
 
+def fewer_runs(s: float, k: int, run: int) -> np.ndarray:
+    """For m = 0, 1, ..: the probability that two sets of similarity ``s`` share
+    fewer than m runs of their k common positions, each shared with probability s."""
+    p = np.zeros((run, k + 1))  # by shared positions at the end (at most run - 1) and runs so far
+    p[0, 0] = 1.0
+    for _ in range(k):
+        q = np.zeros_like(p)
+        q[0] += p.sum(0) * (1 - s)
+        q[1:] += p[:-1] * s
+        q[-1, 1:] += p[-1, :-1] * s
+        p = q
+    return np.concatenate([[0.0], np.cumsum(p.sum(0))])
+
+
+def sure_runs(percent: int, k: int, run: int) -> tuple[int, dict[int, int]]:
+    """The number of runs that a pair at the threshold shares, but for LOSS; and
+    less than that, by size, for sets of up to ``k`` that may share fewer."""
+    usual = max(1, int(np.searchsorted(fewer_runs(percent / 100, k, run), LOSS, side="right")) - 1)
+    out: dict[int, int] = {}
+    for n in range(1, k + 1):
+        for both in range(1, n + 1):
+            apart = both * (100 - percent) // max(1, percent)
+            if apart >= max(1, n - both):
+                out[n] = min(out.get(n, usual), max(1, both - (run - 1) * (apart + 1)))
+    return usual, {n: m for n, m in out.items() if m < usual}
+
+
+def _listed(keys: DataFrame, usual: int, fewer: dict[int, int]) -> DataFrame:
+    """``keys`` (rep, n, key) that more than one class has, without the commonest
+    ones of every class: as many as its size lets it do without."""
+    counts = workspace.dealt_apart(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "c", "key")
+    common = keys.join(counts, "key")
+    if usual == 1:
+        return common.select("rep", "key")
+    sure = F.lit(usual)
+    for m in sorted(set(fewer.values())):
+        sure = F.when(F.col("n").isin([n for n, x in fewer.items() if x == m]), m).otherwise(sure)
+    # At most k runs each; the order of all runs is by frequency, then by key.
+    each = common.groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("runs"))
+    stay = F.slice("runs", 1, F.greatest(F.size("runs") - sure + 1, F.lit(0)))
+    return each.select("rep", F.explode(F.transform(stay, lambda x: x["key"])).alias("key"))
+
+
 def _runs(classes: DataFrame, length: int) -> DataFrame:
     starts = F.sequence(F.lit(1), F.size("sketch") - (length - 1))
-    return classes.where(F.size("sketch") >= length).select("rep", F.explode(F.transform(starts, lambda i: F.xxhash64(*[F.element_at("sketch", (i + j).cast("int")) for j in range(length)]))).alias("key"))
+    return classes.where(F.size("sketch") >= length).select("rep", "n", F.explode(F.transform(starts, lambda i: F.xxhash64(*[F.element_at("sketch", (i + j).cast("int")) for j in range(length)]))).alias("key"))
+
+
+def _families(classes: DataFrame, percent: int, k: int, run: int) -> DataFrame:
+    """rep, family of the classes (rep, n, sketch) that share a listed run with others."""
+    # A set of n shingles can be linked with another set only if n / (n + 1) reaches the threshold.
+    shortest = shortest_runs(percent, k)
+    least = min(shortest, default=k + 1)
+    keys = _runs(classes.where(F.col("n") >= least), run)
+    for length in range(1, run):
+        sizes = [n for n, least in shortest.items() if least <= length]
+        if sizes:
+            keys = keys.unionByName(_runs(classes.where(F.col("n").isin(sizes)), length))
+    keys = workspace.materialise(keys, "near-keys")
+    lists = workspace.materialise(_listed(keys, *sure_runs(percent, k, run)), "near-lists")
+    heads = lists.groupBy("key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    heads = workspace.dealt_apart(heads, "head", "key")
+    ties = lists.join(heads, "key").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
+    return connected_components(ties).withColumnRenamed("node", "rep").withColumnRenamed("component", "family")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = SIMILARITY, k: int = K, run: int = RUN) -> DataFrame:
@@ -250,19 +313,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = S
     classes = whole.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("first"))
     classes = workspace.materialise(classes.select("h1", "h2", F.col("first.doc_id").alias("rep"), F.col("first.n_shingles").alias("n"), F.col("first.sketch").alias("sketch")), "near-classes")
 
-    # A set of n shingles can be linked with another set only if n / (n + 1) reaches the threshold.
-    shortest = shortest_runs(percent, k)
-    least = min(shortest, default=k + 1)
-    keys = _runs(classes.where(F.col("n") >= least), run)
-    for length in range(1, run):
-        sizes = [n for n, least in shortest.items() if least <= length]
-        if sizes:
-            keys = keys.unionByName(_runs(classes.where(F.col("n").isin(sizes)), length))
-    keys = workspace.materialise(keys, "near-lists")
-    heads = keys.groupBy("key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    heads = workspace.dealt_apart(heads, "head", "key")
-    ties = keys.join(heads, "key").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
-    families = connected_components(ties).withColumnRenamed("node", "rep").withColumnRenamed("component", "family")
+    families = _families(classes, percent, k, run)
     members = workspace.materialise(classes.select("rep", "n", "h1", "h2").join(families, "rep"), "near-members")
 
     links = workspace.materialise(_links(texts, members, shingle, percent, k), "near-links")

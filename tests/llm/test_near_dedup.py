@@ -1,5 +1,6 @@
 import collections
 import itertools
+import math
 import random
 
 import numpy as np
@@ -86,6 +87,53 @@ def test_shortest_runs_hold_in_every_order(percent):
             assert longest >= max(shortest[both + left], shortest[both + right])
 
 
+@pytest.mark.parametrize("percent,run", [(80, 3), (85, 3), (85, 2), (60, 3), (100, 3)])
+def test_runs_counted_on(percent, run):
+    chance = N.fewer_runs(percent / 100, 12, run)
+    exact = np.zeros(14)
+    for bits in itertools.product((0, 1), repeat=12):
+        weight = math.prod(percent / 100 if b else 1 - percent / 100 for b in bits)
+        exact[sum(all(bits[i : i + run]) for i in range(13 - run)) + 1] += weight
+    assert np.allclose(chance, np.cumsum(exact), atol=1e-12)
+    usual, fewer = N.sure_runs(percent, 64, run)
+    chance = N.fewer_runs(percent / 100, 64, run)
+    assert usual >= 1 and (usual == 1 or chance[usual] <= N.LOSS) and all(0 < m < usual for m in fewer.values())
+    # Whole sets in random orders at the threshold share as many runs as their sizes promise.
+    r = random.Random(4)
+    for _ in range(2000):
+        both = r.randrange(1, 64)
+        apart = both * (100 - percent) // percent
+        mine = r.randrange(0, apart + 1)
+        if not apart or both + max(mine, apart - mine) > 64:
+            continue
+        marks = ["s"] * both + ["l"] * mine + ["r"] * (apart - mine)
+        r.shuffle(marks)
+        shared = sum(marks[i : i + run] == ["s"] * run for i in range(len(marks)))
+        for n in (both + mine, both + apart - mine):
+            # A single list is always kept; shorter runs stand in where none is shared.
+            assert shared >= fewer.get(n, usual) or fewer.get(n, usual) == 1
+
+
+def test_sure_runs_of_both_contracts():
+    assert N.sure_runs(85, 64, 3)[0] == 5 and N.sure_runs(80, 64, 3)[0] == 2
+
+
+def test_a_common_passage_ties_no_family(spark):
+    # Every text holds the same passage, a quarter of its words, and is its own otherwise.
+    r = random.Random(8)
+    passage = [f"p{i}" for i in range(50)]
+    rows = [(i, " ".join(passage + [f"u{i}.{j}" for j in range(150)])) for i in range(400)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 400, 10)]
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for size, percent in ((3, 85), (5, 80)):
+        marks = docs.mapInArrow(N._sketches(size, 64), "doc_id long, n_shingles long, h1 long, h2 long, sketch array<long>")
+        classes = marks.selectExpr("doc_id as rep", "n_shingles as n", "sketch")
+        largest = [r["count"] for r in N._families(classes, percent, 64, 3).groupBy("family").count().collect()]
+        assert len(largest) >= 40 and max(largest) <= 40
+        assert answer(N.near_duplicates(docs, shingle=size, percent=percent)) == brute(rows, size, percent)
+
+
 def test_edge_rows(spark):
     rows = [(1, None, "s"), (2, "", "s"), (3, " \n", "s"), (4, "One", "s"), (5, "one", "s"), (6, "one two", "s"), (7, "ONE TWO", "s"), (None, "one", "s"), (9, "a b c d e", "s"), (9, "one", "s"), (10, "A b c d e", "s")]
     got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, kept string"), shingle=3, percent=85).collect()
