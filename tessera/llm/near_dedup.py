@@ -52,9 +52,10 @@ RUN = 3
 LOSS = 5e-9
 #: Standard deviations that the union sketch's estimate may fall short by.
 MARGIN = 6.0
-#: Classes and shingles in a block, and shingles of the small families in one task.
+#: Classes and shingles in a block, and of the small families in one task, on average.
 BLOCK_ROWS = 512
 BLOCK_SHINGLES = 400_000
+BIN_ROWS = 1024
 BIN_SHINGLES = 1_500_000
 #: Rows of which at most so many are broadcast (24 bytes each).
 BROADCAST_ROWS = 200_000
@@ -361,7 +362,7 @@ def _links(texts: DataFrame, members: DataFrame, shingle: int, percent: int, k:
     sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("items_in")).where("rows > 1")
     big = (F.col("rows") > BLOCK_ROWS) | (F.col("items_in") > BLOCK_SHINGLES)
     joined = members.join(sizes.withColumn("big", big), "family")
-    bins = max(1, math.ceil(total / BIN_SHINGLES))
+    bins = max(1, math.ceil(total / BIN_SHINGLES), math.ceil(n_members / BIN_ROWS))
     small = joined.where("not big").select("rep", "family", F.concat(F.lit("s"), F.pmod(F.xxhash64("family"), F.lit(bins))).alias("task"), F.lit(0).alias("side"))
 
     large = joined.where("big")
