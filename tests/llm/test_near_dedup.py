@@ -118,7 +118,7 @@ def test_sure_runs_of_both_contracts():
     assert N.sure_runs(85, 64, 3)[0] == 5 and N.sure_runs(80, 64, 3)[0] == 2
 
 
-def test_a_common_passage_ties_no_family(spark):
+def test_a_common_passage_ties_no_large_family(spark):
     # Every text holds the same passage, a quarter of its words, and is its own otherwise.
     r = random.Random(8)
     passage = [f"p{i}" for i in range(50)]
