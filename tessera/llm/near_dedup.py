@@ -10,8 +10,14 @@
    shingles are kept whole; where the threshold lets two of them share no run
    of RUN (at 0.8, 4 shingles of 5), shorter runs are listed too, so that no
    pair of such sets is missed.
+   Pairs at the threshold share many runs: fewer than m with a probability of at
+   most LOSS (m = 5 at 0.85, 2 at 0.8), and sets kept whole share a number that
+   their sizes promise. So a class leaves the lists of its m - 1 commonest runs,
+   the last in an order of all runs by frequency: of m shared runs, the rarest
+   stays listed on both sides. A repeated passage ties only texts to which it
+   gives m runs or more.
 3. The classes of a list are tied to the list's first class; tied classes are
-   a family. All pairs that share a run stand in one family.
+   a family. All pairs that share a listed run stand in one family.
 4. Inside a family, classes are dealt into bands by set size (a link needs
    sizes within the threshold's ratio, so only equal and neighbouring bands
    meet) and into blocks of bounded size. A pair of blocks is compared in one
