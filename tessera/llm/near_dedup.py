@@ -305,7 +305,7 @@ def _families(classes: DataFrame, percent: int, k: int, run: int) -> DataFrame:
     lists = workspace.materialise(_listed(keys, *sure_runs(percent, k, run)), "near-lists")
     heads = lists.groupBy("key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     heads = workspace.dealt_apart(heads, "head", "key")
-    ties = lists.join(heads, "key").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
+    ties = lists.join(heads, "key").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
     return connected_components(ties).withColumnRenamed("node", "rep").withColumnRenamed("component", "family")
 
 

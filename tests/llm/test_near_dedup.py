@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from tessera.llm import components as C
 from tessera.llm import near_dedup as N
 from tessera.llm.components import connected_components
 
@@ -188,6 +189,19 @@ def test_union_sketches_estimate_similarity():
             assert d == len(union) and g == np.isin(union, np.intersect1d(sets[0], sets[b])).mean()
 
 
+def reached(edges):
+    """The smallest node that every node of ``edges`` reaches."""
+    up = {x: x for e in edges for x in e if None not in e and e[0] != e[1]}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            if a in up and b in up and up[a] != up[b]:
+                up[a] = up[b] = min(up[a], up[b])
+                changed = True
+    return up
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (9, 9), (7, None), (10, 11), (11, 12), (12, 13), (13, 10)] + [(100 + k, 101 + k) for k in range(40)] + [(500, 500 + k) for k in range(1, 30)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -195,6 +209,30 @@ def test_components(spark):
     assert {got[k] for k in range(100, 141)} == {100} and {got[k] for k in range(500, 530)} == {500}
 
 
+def test_few_edges_need_no_round_of_shuffles(spark):
+    r = random.Random(6)
+    edges = [(r.randrange(600), r.randrange(600)) for _ in range(400)] + [(1000 + k, 1001 + k) for k in range(500)] + [(-5, 2000), (2000, 3000), (None, 4), (9000, 9000)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), rounds=0).collect()}
+    assert got == reached(edges)
+    assert connected_components(spark.createDataFrame([], "a long, b long"), rounds=0).collect() == []
+
+
+@pytest.mark.parametrize("limit", [0, 60, 150])
+def test_more_edges_are_contracted_in_rounds(spark, monkeypatch, limit):
+    # At 0 to the end; at 60 and 150 until so few are left.
+    monkeypatch.setattr(C, "TASK_EDGES", limit)
+    r = random.Random(7)
+    edges = [(r.randrange(90), r.randrange(90)) for _ in range(300)] + [(200 + k, 201 + k) for k in range(20)]
+    rows = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {x["node"]: x["component"] for x in rows} == reached(edges) and len(rows) == len(reached(edges))
+
+
+def test_near_duplicates_by_rounds(spark, monkeypatch):
+    monkeypatch.setattr(C, "TASK_EDGES", 0)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert answer(N.near_duplicates(docs, shingle=3, percent=85)) == brute([(r["doc_id"], r["text"]) for r in docs.collect()], 3, 85)
+
+
 def test_compare_links_only_across_sides():
     sets = [np.arange(k, k + 100, dtype=np.uint64) for k in (0, 1, 2)]
     assert len(N.compare([1, 2, 3], sets, None, 85, 64)) == 2
