@@ -1,9 +1,11 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.errors import ConfigError, Corrupt, DimensionMismatch, NotFinite, ZeroNorm
 from tessera.metric import Metric
 from tessera.operators import hnsw, knn
+from tessera.plans.store import Store, StoreConfig
 from tessera.sources.synthetic import clustered
 
 
@@ -100,3 +102,38 @@ def test_graphs_by_segment(spark):
 def test_synthetic_rows_do_not_depend_on_partitions(spark):
     a = {r["id"]: r["vector"] for r in clustered(spark, 20, 4, centers=3).collect()}
     assert len(a) == 20 and a == {r["id"]: r["vector"] for r in clustered(spark, 20, 4, centers=3).coalesce(1).collect()}
+
+
+def test_close_neighbours_need_no_scan(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    m = r.standard_normal((400, 12))
+    m[100:200] = m[:100]  # the same vectors, and close ones
+    m[200:300] = m[:100] + 1e-5 * r.standard_normal((100, 12))
+    m = (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
+    rows = frame(spark, m, 3)
+    asked = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "query_id long, query array<float>")
+    place = lambda hits: {(x["query_id"], x["rank"]): x["id"] for x in hits.collect()}
+    for k in (1, 2, 5):  # the last ones have other close rows, but not five
+        want = place(knn.search(rows, [(i, v) for i, v in enumerate(m)], k=k, metric="cosine", dim=12))
+        assert place(knn.search_close(rows, asked, k=k, dim=12)) == want and len(want) == 400 * k
+
+    def scan(*_, **__):
+        raise AssertionError("every row is scanned")
+
+    monkeypatch.setattr(knn, "search_frame", scan)
+    assert len(place(knn.search_close(rows, asked, k=1, dim=12))) == 400
+    with pytest.raises(AssertionError, match="scanned"):
+        knn.search_close(rows, asked, k=2, dim=12)
+    with pytest.raises(AssertionError, match="scanned"):  # a row that is no unit vector
+        knn.search_close(frame(spark, 2 * m), asked, k=1, dim=12)
+
+
+def test_a_store_looks_among_close_rows(spark, tmp_path, monkeypatch):
+    m = np.random.default_rng(8).standard_normal((60, 8)).astype(np.float32)
+    monkeypatch.setattr(knn, "BROADCAST", 20)
+    store = Store.open_or_create(spark, f"{tmp_path}/s", StoreConfig(8, "cosine", 1))
+    store.publish(frame(spark, m).select("id", "vector"))
+    asked = store.snapshot().rows().select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    monkeypatch.setattr(knn, "search", None)  # as a scan would be
+    got = store.search(asked, k=1, mode="exact").collect()
+    assert sorted((r["query_id"], r["id"]) for r in got) == [(i, i) for i in range(60)]
