@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,3 +138,18 @@ def test_a_store_looks_among_close_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(knn, "search", None)  # as a scan would be
     got = store.search(asked, k=1, mode="exact").collect()
     assert sorted((r["query_id"], r["id"]) for r in got) == [(i, i) for i in range(60)]
+
+
+def test_large_k_is_handed_on_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(knn, "HELD", 500)
+    m = np.random.default_rng(9).standard_normal((300, 4)).astype(np.float32)
+    asked = [(i, m[i]) for i in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(100, np.int64)), pa.array(np.zeros(100, np.int32)), pa.array(np.arange(100)), pa.array(np.arange(100)), pa.array(m[:100].tolist(), pa.list_(pa.float32()))], names=["segment_id", "ordinal", "row", "id", "vector"])
+    pieces = [b.num_rows for b in knn._scan([q for _, q in asked], list(range(20)), 10**9, Metric.DOT, 4)([batch] * 3)]
+    assert max(pieces) <= 500 and sum(pieces) == 20 * 300
+    for k in (1, 30, 10**9):
+        hits = knn.search(frame(spark, m).repartition(3), asked, k=k, metric="dot", dim=4)
+        best = {(r["query_id"], r["rank"]): r["id"] for r in hits.collect()}
+        assert best == {(i, n + 1): x for i, q in asked for n, x in enumerate(truth(m, q, "dot", k))}
+    counts = knn.search(frame(spark, m), asked, k=300, metric="dot", dim=4, every=True).groupBy("query_id").count()
+    assert {r["count"] for r in counts.collect()} == {300} and "Window" not in counts._jdf.queryExecution().optimizedPlan().toString()
