@@ -129,3 +129,16 @@ def test_prepared_rows_equal_the_expressions(spark, metric):
         assert made[r["id"]]["why"] == r["why"]
         assert made[r["id"]]["vector"] == (None if r["why"] else r["vector"])
     assert V.prepared(df.limit(0), "vector", 2, metric, "why").collect() == []
+
+
+def test_the_stored_number_is_rounded(spark):
+    """As printf does: 1.005 is a little less than it reads, 2.675e9 ns too."""
+    r = np.random.default_rng(1)
+    n = [0.0, 0.5, 1.5, 2.5, 999.5, 999.4999, 1e3, 2.5e3, 1250.0, 1350.0, 1.005e6, 2.675e6, 1.005e9, 2.675e9, 1.115e9, 1.125e9, 1.375e9, 9.995e9, 999.995e9, 12345678901234567.0, 3e24]
+    n += [float(k * 5 + 5) * 1e6 for k in r.integers(200, 10**6, 1000)] + [float(k) ** 3 for k in r.integers(1, 140_000, 3000)] + [(k * 10 + 5) * 10.0 for k in range(10, 9000, 7)]
+    df = spark.createDataFrame([(x,) for x in n], "n double")
+    units = ((1e3, 1, 0, "ns"), (1e6, 1e3, 1, "µs"), (1e9, 1e6, 2, "ms"), (float("inf"), 1e9, 2, "s"))
+    for x, got in df.select("n", T.format_duration("n")).collect():
+        by, digits, unit = next(u[1:] for u in units if x < u[0])
+        assert got == f"{x / by:.{digits}f} {unit}", x
+    assert [r[0] for r in spark.sql("select -2.675D as x union all select null").select(T._fixed(F.col("x"), 2, "s").alias("s")).collect()] == ["-2.67 s", None]
