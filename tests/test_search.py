@@ -153,3 +153,14 @@ def test_large_k_is_handed_on_in_pieces(spark, monkeypatch):
         assert best == {(i, n + 1): x for i, q in asked for n, x in enumerate(truth(m, q, "dot", k))}
     counts = knn.search(frame(spark, m), asked, k=300, metric="dot", dim=4, every=True).groupBy("query_id").count()
     assert {r["count"] for r in counts.collect()} == {300} and "Window" not in counts._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_segments_draw_their_own_levels():
+    p = hnsw.HnswParams()
+    draws = [hnsw.assign_levels(8192, p, s) for s in (0, 1, 2, -1)]
+    assert len({d.tobytes() for d in draws}) == 4 and (draws[1] == hnsw.assign_levels(8192, p, 1)).all()
+    # Over many segments the share of level 1 and above comes near 1 / m.
+    share = np.concatenate([hnsw.assign_levels(8192, p, s) >= 1 for s in range(100)]).mean()
+    assert abs(share - 1 / 16) <= 4 * np.sqrt(1 / 16 * 15 / 16 / 819_200)
+    m = np.eye(64, dtype=np.float32)
+    assert [len(x) for x in hnsw.build_graph(m, "dot", p, 1).links] != [len(x) for x in hnsw.build_graph(m, "dot", p, 2).links]
