@@ -1,3 +1,6 @@
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 
 from tessera.errors import ConfigError
@@ -82,3 +85,25 @@ def test_token_counts_of_many_texts():
     texts = ["", "one", "a longer_word, and more", "seven77 é漢字! ?", " \t\n\x0b", "", "x" * 13 + "-" + "y" * 6, "end"]
     assert C.token_counts([t.encode() for t in texts]).tolist() == [C.estimate_tokens(t) for t in texts]
     assert C.token_counts([]).tolist() == [] and C.token_counts([b"", b""]).tolist() == [0, 0]
+
+
+def test_batches_are_taken_in_pieces(spark, monkeypatch):
+    rows = [(i, None if i % 7 == 3 else f"text {i} " * (i % 50)) for i in range(300)] + [(300, "x " * C.PIECE), (301, "")]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["id", "text"])
+    for most in (1, 100, 5000, 1 << 30):
+        monkeypatch.setattr(C, "PIECE", most)
+        got = list(C.pieces(batch, 1))
+        assert pa.Table.from_batches(got).to_pylist() == batch.to_pylist()
+        assert all(sum(len(x or "") for x in p.column(1).to_pylist()[:-1]) < most for p in got)
+    assert [p.num_rows for p in C.pieces(batch.slice(0, 0), 1)] == [0]
+
+
+def test_chunks_of_many_texts_need_little_memory():
+    """The counts of tokens of one batch took sixteen bytes for each byte of text."""
+    texts = [b"some words, and more. " * 100] * 1000
+    C.token_counts(texts[:1])
+    tracemalloc.start()
+    got = C.token_counts(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == [C.estimate_tokens(texts[0].decode())] * 1000 and most < 14 * sum(map(len, texts))
