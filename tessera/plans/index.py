@@ -61,7 +61,9 @@ class GraphIndex(_Rows):
 
     def __init__(self, rows: DataFrame, metric: str | Metric, dim: int, *, graphs: DataFrame | None = None, params: hnsw.HnswParams = hnsw.HnswParams(), ef: int = 64):
         super().__init__(rows, metric, dim)
-        self.graphs, self.ef = hnsw.build_graphs(rows, metric, params) if graphs is None else graphs, ef
+        self.graphs, self.params, self.ef = graphs, params, ef
 
     def search(self, queries, k: int) -> DataFrame:
+        if self.graphs is None:
+            self.graphs = hnsw.stored_graphs(self.rows, self.metric, self.params)
         return hnsw.search_graphs(self.rows, self.graphs, queries, k=k, ef=self.ef, metric=self.metric, dim=self.dim)

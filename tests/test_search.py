@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tessera.errors import ConfigError, Corrupt, DimensionMismatch, NotFinite, ZeroNorm
 from tessera.metric import Metric
 from tessera.operators import hnsw, knn
+from tessera.plans.index import GraphIndex
 from tessera.plans.store import Store, StoreConfig
 from tessera.sources.synthetic import clustered
 
@@ -164,3 +165,33 @@ def test_segments_draw_their_own_levels():
     assert abs(share - 1 / 16) <= 4 * np.sqrt(1 / 16 * 15 / 16 / 819_200)
     m = np.eye(64, dtype=np.float32)
     assert [len(x) for x in hnsw.build_graph(m, "dot", p, 1).links] != [len(x) for x in hnsw.build_graph(m, "dot", p, 2).links]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
+def test_queries_searched_together_find_the_same(monkeypatch, metric):
+    m = np.random.default_rng(11).standard_normal((900, 24)).astype(np.float32)
+    if metric == "cosine":
+        m /= np.linalg.norm(m, axis=1, keepdims=True)
+    g = hnsw.build_graph(m, metric, hnsw.HnswParams(ef_construction=60))
+    hnsw.validate_graph(g, len(m))
+    asked = np.random.default_rng(12).standard_normal((70, 24)).astype(np.float32)
+    for step in (hnsw.STEP, 1 << 12):
+        monkeypatch.setattr(hnsw, "STEP", step)
+        for k, ef in ((1, 1), (10, 64), (40, 10)):
+            of, rows, scores = hnsw.search_many(g, m, metric, asked, k, ef)
+            for i, q in enumerate(asked):
+                alone = hnsw.search_graph(g, m, metric, q, k, ef)
+                assert rows[of == i].tolist() == [r for r, _ in alone]
+                assert np.allclose(scores[of == i], [s for _, s in alone], atol=1e-4)
+        assert hnsw.build_graph(m, metric, hnsw.HnswParams(ef_construction=60)).links[:2] == g.links[:2]
+    assert len(hnsw.search_many(hnsw.build_graph(m[:0], metric), m[:0], metric, asked, 3)[0]) == 0
+
+
+def test_graphs_are_built_once_for_all_blocks(spark, monkeypatch):
+    m = np.random.default_rng(13).standard_normal((200, 8)).astype(np.float32)
+    monkeypatch.setattr(knn, "BROADCAST", 50)
+    asked = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "query_id long, query array<float>")
+    index = GraphIndex(frame(spark, m, 2), "l2", 8)
+    assert index.search(asked, 1).where("query_id = id").count() >= 198
+    plan = index.graphs._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in plan and "parquet" in plan
