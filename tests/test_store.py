@@ -243,3 +243,10 @@ def test_progress_survives_a_report_that_fails(spark):
         live.phase("x")
         live.count(chunks=3)
         assert live.look() | {"seconds": 0} == {"phase": "x", "chunks": 3, "tasks": 0, "tasks_done": 0, "seconds": 0}
+
+
+def test_arrivals_are_written_by_tasks_of_bounded_size():
+    from tessera.queries import arrival_files
+
+    assert arrival_files(0) == arrival_files(3 << 26) == 1 and arrival_files((3 << 26) + 1) == 2
+    assert all(n / (3 * arrival_files(n)) <= 64 << 20 for n in (10**6, 10**9, 10**10, 10**12))
